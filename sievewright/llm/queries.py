@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import format_dedup
+from sievewright.llm import format_dedup, mojibake
 from sievewright.tables import table
 
 
@@ -18,6 +18,14 @@ def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dedup.representatives(table(spark, sf_dir, "source_lines"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "documents"))
+
+
+def p9_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
