@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import format_dedup, mojibake
+from sievewright.llm import format_dedup, leak, mojibake
 from sievewright.tables import table
 
 
@@ -18,6 +18,10 @@ def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dedup.representatives(table(spark, sf_dir, "source_lines"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.affected(table(spark, sf_dir, "documents"))
 
