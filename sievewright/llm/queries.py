@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import format_dedup, leak, mojibake
+from sievewright.llm import format_dedup, leak, mojibake, pii, quality
 from sievewright.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "document_revisions"))
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "document_revisions"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dedup.copy_pairs(table(spark, sf_dir, "source_lines"))
 
@@ -18,6 +26,18 @@ def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dedup.representatives(table(spark, sf_dir, "source_lines"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_lines(table(spark, sf_dir, "document_revisions"))
+
+
+def p5_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "document_revisions"))
+
+
+def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "document_revisions"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
