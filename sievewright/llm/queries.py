@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import format_dedup, leak, mojibake, pii, quality
+from sievewright.llm import format_dedup, leak, mojibake, pairs, pii, quality
 from sievewright.tables import table
 
 
@@ -26,6 +26,11 @@ def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dedup.representatives(table(spark, sf_dir, "source_lines"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pairs.contribution_pairs(table(spark, sf_dir, "contributions")).unionByName(pairs.conversation_pairs(table(spark, sf_dir, "canonical_conversations")))
+    return pairs.defective(both)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_lines(table(spark, sf_dir, "document_revisions"))
 
