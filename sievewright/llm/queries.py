@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import format_dedup, leak, mojibake, pairs, pii, quality
+from sievewright.llm import bpe, budget, format_dedup, leak, mixing, mojibake, pairs, pii, quality
 from sievewright.tables import table
 
 
@@ -31,6 +31,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(both)
 
 
+def p4_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_estimates"), table(spark, sf_dir, "release_sources"))
+
+
+def p4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.token_counts(table(spark, sf_dir, "documents"))
+
+
+def p4_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.estimate_budget(table(spark, sf_dir, "token_estimates"), table(spark, sf_dir, "release_sources"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_lines(table(spark, sf_dir, "document_revisions"))
 
@@ -43,6 +55,18 @@ def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(table(spark, sf_dir, "document_revisions"))
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "release_mixture"))
+
+
+def p6_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "release_mixture"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -60,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_estimates": budget.ESTIMATE_SQL}
