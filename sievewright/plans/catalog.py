@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from sievewright.operators import dedup, identity, review
+
+MODULES = (identity, dedup, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

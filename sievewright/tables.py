@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row.
+
+    The optimizer would copy a long expression into each of its uses, and a
+    lambda would compute it again for each element; a generator of one value
+    keeps it apart.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
