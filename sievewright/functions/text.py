@@ -30,7 +30,7 @@ def profile_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(F.replace(c, F.lit("İ"), F.lit("i"))), F.lit("ß"), F.lit("ss")), SPACES, " "))
 
 
-PROFILE_SQL = r"trim(regexp_replace(replace(lower(replace({0}, 'İ', 'i')), 'ß', 'ss'), '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+PROFILE_SQL = r"trim(regexp_replace(replace(lower(replace({0}, 'İ', 'i')), 'ß', 'ss'), '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')"
 
 
 def fingerprint(normal: Column) -> Column:
@@ -120,11 +120,11 @@ def bit_string(c: Column) -> Column:
 
 def luhn_valid(digits: Column) -> Column:
     """Luhn check of 13 to 19 digits that are not all alike."""
-    return F.char_length(digits).between(13, 19) & F.luhn_check(digits) & ~digits.rlike(r"^(\d)\1+$")
+    return F.char_length(digits).between(13, 19) & F.call_function("luhn_check", digits) & ~digits.rlike(r"^(\d)\1+$")
 
 
 def _digit(c: Column, i: int) -> Column:
-    return F.substring(c, i, 1).cast("int")
+    return F.substring(c, i, 1).try_cast("int")
 
 
 def national_id_valid(digits: Column) -> Column:
@@ -138,7 +138,7 @@ def national_id_valid(digits: Column) -> Column:
 def iban_valid(iban: Column) -> Column:
     """Remainder 1 modulo 97 of a Turkish IBAN, digit by digit."""
     moved = F.concat(F.substring(iban, 5, 22), F.lit("2927"), F.substring(iban, 3, 2))
-    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(28)), lambda i: F.substring(moved, i, F.lit(1)).cast("int")), F.lit(0), lambda a, d: (a * 10 + d) % 97)
+    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(28)), lambda i: F.substring(moved, i, F.lit(1)).try_cast("int")), F.lit(0), lambda a, d: (a * 10 + d) % 97)
     return iban.rlike("^TR[0-9]{24}$") & (rest == 1)
 
 

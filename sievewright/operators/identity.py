@@ -161,7 +161,7 @@ def document_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOCAL = r"'[\p{L}\p{N}_]+'"
 GRAMS = "CASE WHEN len(w) >= {0} THEN list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i:i + {0} - 1], chr(31))) ELSE [] END"
 WORDS = f"SELECT doc_id, regexp_extract_all({P}, {LOCAL}) AS w FROM documents WHERE text IS NOT NULL"
-UNITS = r"trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+UNITS = r"trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')"
 
 QUERIES = {
     "document_id": (
@@ -179,7 +179,7 @@ QUERIES = {
     "single_line_text": (single_line_text, f"SELECT doc_id, substr({UNITS}, 1, 200) AS preview FROM documents"),
     "blind_rows": (
         blind_rows,
-        f"SELECT doc_id, md5(CASE WHEN length({UNITS}) > 6000 THEN rtrim(substr({UNITS}, 1, 6000)) ELSE {UNITS} END) AS shown_md5, length({UNITS}) > 6000 AS cut, length(text)::BIGINT AS char_count FROM documents WHERE text IS NOT NULL",
+        f"SELECT doc_id, md5(CASE WHEN length({UNITS}) > 6000 THEN rtrim(substr({UNITS}, 1, 6000), ' ') ELSE {UNITS} END) AS shown_md5, length({UNITS}) > 6000 AS cut, length(text)::BIGINT AS char_count FROM documents WHERE text IS NOT NULL",
     ),
     "word_ngrams": (
         word_ngrams,
