@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.operators import dedup, identity, records, review
+from sievewright.operators import candidates, dedup, identity, records, review
 
-MODULES = (identity, dedup, review, records)
+MODULES = (candidates, identity, dedup, review, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
