@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.tables import once, table
+from sievewright.tables import once, spread, table, written
 
 #: Terms of each cluster, matched at word starts.
 LEXICONS = {
@@ -57,7 +57,7 @@ def segments(c: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Documents with folded text, words and segments, each computed once."""
-    d = once(docs.select("doc_id", "text"), "m", F.struct(folded(F.col("text")).alias("f"), T.tokens(folded(F.col("text"))).alias("w"), segments(folded(F.col("text"))).alias("s")))
+    d = once(spread(docs.select("doc_id", "text")), "m", F.struct(folded(F.col("text")).alias("f"), T.tokens(folded(F.col("text"))).alias("w"), segments(folded(F.col("text"))).alias("s")))
     return d.select("doc_id", "text", F.col("m.f").alias("f"), F.col("m.w").alias("w"), F.col("m.s").alias("s"), F.size("m.w").alias("words"))
 
 
@@ -104,7 +104,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and documents of each cluster of terms."""
-    d = once(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "f", folded(F.col("text")))
+    d = once(spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")), "f", folded(F.col("text")))
     tall = d.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("lexicon"), hits(F.col("f"), k).alias("n")) for k in LEXICONS))).alias("h"))
     return tall.groupBy("h.lexicon").agg(F.sum("h.n").alias("hits"), F.count_if(F.col("h.n") > 0).alias("documents"))
 
@@ -129,12 +129,13 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(personal, "personal_data")
         .when(F.size(reasons()) > 0, "quality")
     )
-    s = once(d, "stage", stage).select("doc_id", "text", "stage", T.fingerprint(T.profile_text(F.col("text"))).alias("fp"))
-    first = s.where("stage is null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    held = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long") % 25 == 0
+    narrow = d.select("doc_id", stage.alias("stage"), T.fingerprint(T.profile_text(F.col("text"))).alias("fp"), held.alias("held"), F.char_length("text").alias("chars"))
+    s = written(narrow, "stages")  # the costly pass runs once; what follows reads a few narrow columns
+    first = s.where("stage is null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     s = s.join(first, "fp", "left")
     late = F.when(F.col("stage").isNotNull(), F.col("stage")).when(F.col("first_id") < F.col("doc_id"), "duplicate").otherwise("kept")
-    held = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long") % 25 == 0
-    return s.select("doc_id", late.alias("stage"), F.when(late == "kept", F.when(held, "held_out").otherwise("train")).alias("partition"), F.char_length("text").alias("chars"))
+    return s.select("doc_id", late.alias("stage"), F.when(late == "kept", F.when(F.col("held"), "held_out").otherwise("train")).alias("partition"), "chars")
 
 
 def candidate_stages(spark: SparkSession, sf_dir: str) -> DataFrame:

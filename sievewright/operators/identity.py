@@ -58,7 +58,7 @@ def blind_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grams(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, g) with all word n-grams of each text."""
-    words = once(docs.where("text is not null").select("doc_id", "text"), "w", T.tokens(T.profile_text(F.col("text")))).select("doc_id", "w")
+    words = once(spread(docs.where("text is not null").select("doc_id", "text")), "w", T.tokens(T.profile_text(F.col("text")))).select("doc_id", "w")
     return once(words, "g", T.ngrams(F.col("w"), n)).select("doc_id", "g")
 
 
