@@ -133,11 +133,13 @@ def scanner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanner_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohen's kappa of two scanners over the objects that both scanned."""
-    cells = scanner_pairs(spark, sf_dir).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # a confusion matrix
-    cells = cells.withColumn("t", total).withColumn("row", F.sum("n").over(Window.partitionBy("a"))).withColumn("col", F.sum("n").over(Window.partitionBy("b")))
-    diagonal = cells.where("a = b").agg(F.max("t").alias("pairs"), (F.sum("n") / F.max("t")).alias("observed"), F.sum(F.col("row") * F.col("col") / (F.col("t") * F.col("t"))).alias("expected"))
-    return diagonal.select("pairs", round9("observed").alias("observed"), round9("expected").alias("expected"), round9(S.kappa(F.col("observed"), F.col("expected"))).alias("kappa"))
+    cells = scanner_pairs(spark, sf_dir).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))  # a confusion matrix: labels squared
+    label = F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("row"), F.lit(0).alias("col")), F.struct(F.col("b").alias("label"), F.lit(0).alias("row"), F.col("n").alias("col"))))
+    margins = cells.select(label.alias("m")).groupBy("m.label").agg(F.sum("m.row").alias("row"), F.sum("m.col").alias("col"))
+    expected = margins.agg(F.sum("row").alias("pairs"), (F.sum(F.col("row") * F.col("col")) / (F.sum("row") * F.sum("row"))).alias("expected"))
+    observed = cells.agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n")).alias("observed"))
+    one = expected.join(F.broadcast(observed), F.lit(True)).where("pairs is not null")  # one row each
+    return one.select("pairs", round9("observed").alias("observed"), round9("expected").alias("expected"), round9(S.kappa(F.col("observed"), F.col("expected"))).alias("kappa"))
 
 
 def pair_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,9 +264,9 @@ QUERIES = {
     "scanner_agreement": (
         scanner_agreement,
         f"""WITH {SCANS}, p AS (SELECT object_sha256, max(scan_status) FILTER (scanner_version = 'basic-tr-v1') AS a, max(scan_status) FILTER (scanner_version = 'basic-tr-v2') AS b FROM s GROUP BY 1), q AS (SELECT a, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
-        t AS (SELECT count(*) AS pairs FROM q), o AS (SELECT count(*) / (SELECT pairs FROM t)::DOUBLE AS observed FROM q WHERE a = b),
-        e AS (SELECT sum(x.n * y.n / ((SELECT pairs FROM t) * (SELECT pairs FROM t))::DOUBLE) AS expected FROM (SELECT a, count(*) AS n FROM q GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM q GROUP BY b) y ON x.a = y.b JOIN (SELECT DISTINCT a FROM q WHERE a = b) z ON z.a = x.a)
-        SELECT pairs, round(observed, 9) AS observed, round(expected, 9) AS expected, round(CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END, 9) AS kappa FROM t, o, e""",
+        t AS (SELECT count(*) AS pairs, count(*) FILTER (a = b) / count(*)::DOUBLE AS observed FROM q),
+        e AS (SELECT coalesce(sum(x.n * y.n), 0) / ((SELECT pairs FROM t) * (SELECT pairs FROM t))::DOUBLE AS expected FROM (SELECT a, count(*) AS n FROM q GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM q GROUP BY b) y ON x.a = y.b)
+        SELECT pairs, round(observed, 9) AS observed, round(expected, 9) AS expected, round(CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END, 9) AS kappa FROM t, e WHERE pairs > 0""",
     ),
     "pair_consensus": (
         pair_consensus,
