@@ -119,7 +119,7 @@ class Encoder:
         first, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(size)
         gather = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
-        before = np.r_[0, np.cumsum(counts)]
+        before = np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))]
         offsets = np.r_[0, ends][before].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.ids[gather]))
 
