@@ -35,8 +35,8 @@ ERRORS_IN = 10  # about one word in so many may be replaced or dropped
 BLOCK_ITEMS = 20_000
 MARKS = re.compile("[̀-ͯ­​-‏‪-‮⁠-⁤﻿᠎͏]+")
 WORD = re.compile(r"[^\W_]+")
-#: Apostrophes inside a word go, and elided articles join the next word, so both spellings of "l'exemple" agree.
-APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´‘](?=\w)")
+#: Apostrophes and hyphens inside a word go, and elided articles join the next word, so all spellings of "l'exemple" agree.
+APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´‘‐‑-](?=\w)")
 ELIDED = re.compile(r"\b([ldcjmnst]|qu)\s+(?=\w)")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,7 +127,8 @@ class Items:
                     a = max(0, cluster[0][1] - LEAST_WORDS)
                     b = cluster[-1][1] + cluster[-1][2] + LEAST_WORDS
                     score, span = passage(item, doc[a:b])
-                    if score >= least_score(len(item)) and (span - score) / (1 + MISS) <= span / ERRORS_IN + 1:
+                    # a word replaced by two counts twice as an error, which long matches may do
+                    if score >= least_score(len(item)) and (score >= LEAST_WORDS + 2 or (span - score) / (1 + MISS) <= span / ERRORS_IN + 1):
                         return True
                 cluster = []
             if tile:
@@ -165,10 +166,13 @@ def tiling(p: np.ndarray, q: np.ndarray, item: np.ndarray, doc: np.ndarray) -> l
 MISS = 2.0  # a replaced or dropped word costs two matching ones
 
 
+EDGE = 1.5  # what an error near the passage's end takes from its score
+
+
 def least_score(item_words: int) -> float:
     n = min(LEAST_WORDS, item_words)
-    errors = round(n / ERRORS_IN)
-    return n - errors - MISS * errors
+    errors = n // ERRORS_IN
+    return n - errors - MISS * errors - EDGE
 
 
 def passage(item: np.ndarray, doc: np.ndarray) -> tuple[float, int]:
