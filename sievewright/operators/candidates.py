@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.tables import once, spread, table, written
+from sievewright.tables import once, positions, spread, table, written
 
 #: Terms of each cluster, matched at word starts.
 LEXICONS = {
@@ -156,14 +156,14 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train selection less later drops, with old and new positions.
 
-    Positions are counted within sources, so no task sees all rows.
+    Positions are counted within sources by ranges, so no task sees all rows of a source.
     """
     kept = staged(spark, sf_dir).where("partition = 'train'").join(table(spark, sf_dir, "documents").select("doc_id", "source", "source_ordinal"), "doc_id")
-    w = Window.partitionBy("source").orderBy("source_ordinal", "doc_id")
-    kept = kept.select("doc_id", "source", "source_ordinal", F.row_number().over(w).cast("long").alias("old_position"))
+    order = ["source_ordinal", "doc_id"]
+    kept = positions(kept.select("doc_id", "source", "source_ordinal"), "source", order, "old_position")
     drops = table(spark, sf_dir, "token_estimates").where("estimated_token_count > 500").select("doc_id").distinct()
     left = kept.join(drops, "doc_id", "left_anti")
-    return left.select("doc_id", "source", "old_position", F.row_number().over(w).cast("long").alias("new_position"))
+    return positions(left, "source", order, "new_position").drop("source_ordinal")
 
 
 def selection_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:

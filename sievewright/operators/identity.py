@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.tables import once, spread, table
+from sievewright.tables import once, positions, spread, table
 
 P = T.PROFILE_SQL.format("text")
 
@@ -154,8 +154,7 @@ def encoding_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of each document in its source."""
-    w = Window.partitionBy("source").orderBy("source_ordinal", "doc_id")
-    return documents(spark, sf_dir).select("doc_id", "source", F.row_number().over(w).cast("long").alias("position"))
+    return positions(documents(spark, sf_dir).select("doc_id", "source", "source_ordinal"), "source", ["source_ordinal", "doc_id"], "position").drop("source_ordinal")
 
 
 LOCAL = r"'[\p{L}\p{N}_]+'"

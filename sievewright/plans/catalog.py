@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.operators import candidates, dedup, identity, records, relational, review
+from sievewright.operators import candidates, checks, dedup, identity, records, relational, review
 from sievewright.streaming import events
 
-MODULES = (candidates, identity, dedup, review, records, relational, events)
+MODULES = (candidates, checks, identity, dedup, review, records, relational, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

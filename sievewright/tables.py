@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,21 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     keeps it apart.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def positions(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with each row's position in its group, from 1, however large a group is.
+
+    Rows are range-partitioned by group and order, so a hot group spans many
+    partitions; rows are numbered within a partition and shifted by the counts
+    of the partitions before, at most one row for each partition and group.
+    The columns of order must tell the rows of a group apart.
+    """
+    ranged = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    held = written(ranged, "positions")  # the partition numbers must stay as they are
+    counts = held.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = held.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    joined = local.join(shift, local[group].eqNullSafe(shift["_group"]) & (local["_part"] == shift["_p"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_k")).cast("long").alias(name))

@@ -117,3 +117,17 @@ def test_reservoir():
     kept = review.reservoir_indices(1000, 10, "9f86d081884c7d65")
     assert sorted(kept) == list(range(10)) and all(1 <= v <= 1000 for v in kept.values())
     assert review.reservoir_indices(3, 10, "9f86d081884c7d65") == {0: 1, 1: 2, 2: 3}
+
+
+def test_positions_of_a_hot_group(spark):
+    rng = random.Random(8)
+    data = [("hot" if i % 3 else rng.choice(["a", "b"]), rng.randint(0, 50), i) for i in range(3000)] + [(None, 1, 9000), (None, 0, 9001)]
+    from sievewright.tables import positions
+
+    df = spark.createDataFrame(data, "g string, o long, id long")
+    want = {}
+    for g in ("hot", "a", "b", None):
+        for k, row in enumerate(sorted(r[1:] for r in data if r[0] == g), 1):
+            want[row[1]] = k
+    got = positions(df, "g", ["o", "id"], "position")
+    assert {r["id"]: r["position"] for r in got.collect()} == want and got.columns == ["g", "o", "id", "position"]
