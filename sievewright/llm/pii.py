@@ -62,8 +62,8 @@ SURNAME_ENDINGS = ("oğlu", "soy", "gil", "türk", "tepebel", "göletli", "surka
 COMPOUND = re.compile(r"(?:gün|koz|bey|doğru|çam|yeşil|akça|kara|sarı|boz|taş|öz|demir|er|kıran|ulu|ak|gök|kızıl)\w{3,}(?:oğlu|soy|gil|bel|li|lı|kan|er|baş|cık|cik)$")
 NOT_A_PERSON = frozenset("hatun ilkokulu ortaokulu lisesi okulu üniversitesi caddesi caddesı sokağı sokak mahallesi bulvarı bulvar meydanı parkı hastanesi camii camisi vakfı derneği köprüsü stadı müzesi kütüphanesi apartmanı sitesi barajı street straße road school university hospital".split())
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
-JOIN = re.compile(r"\s{1,2}$")
-COMMA = re.compile(r"\s?,\s{1,2}$")
+JOIN = re.compile(r"[ \xa0]{1,2}$")
+COMMA = re.compile(r" ?,[ \xa0]{0,2}$")
 
 
 def fold(s: str) -> str:
