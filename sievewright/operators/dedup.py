@@ -84,7 +84,8 @@ def first_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A hot text is pre-aggregated map-side by the min aggregate, then joined back.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(T.profile_text(F.col("text"))).alias("fp"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = written(texts.select("doc_id", T.fingerprint(T.profile_text(F.col("text"))).alias("fp")), "fingerprints")  # used twice, two columns
     first = d.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return d.join(first, "fp", "left").select("doc_id", F.coalesce("first_id", "doc_id").alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
@@ -98,7 +99,7 @@ def exact_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signatures(docs: DataFrame, id_col: str, digest: str = "md5") -> DataFrame:
     """(id, signature) of each text with five or more words."""
-    normal = spread(docs.select(F.col(id_col), T.profile_text(F.col("text")).alias("normal")))
+    normal = spread(docs.select(id_col, "text")).select(F.col(id_col), T.profile_text(F.col("text")).alias("normal"))
     return normal.select(F.col(id_col), T.simhash(digest=digest)("normal").alias("signature")).where("signature is not null")
 
 
@@ -136,7 +137,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its signature class."""
-    sigs = signatures(table(spark, sf_dir, "documents"), "doc_id")
+    sigs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")  # used twice, two columns
     classes = sigs.groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return sigs.join(classes, "signature").select("doc_id", "class_id", "copies")
 
@@ -163,7 +164,7 @@ def greedy_resolution(pairs: DataFrame, nodes: DataFrame, rounds: int = 64) -> D
 
 def near_duplicate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signature classes stay when later near copies are dropped in order."""
-    sigs = signatures(table(spark, sf_dir, "documents"), "doc_id")
+    sigs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")
     nodes = sigs.groupBy("signature").agg(F.min("doc_id").alias("class_id"))
     return greedy_resolution(near_pairs(sigs), nodes)
 
@@ -176,7 +177,7 @@ def approximate_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = range(0, 64, 8)
     bands = lambda c: F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(c, i).bitwiseAND(F.lit(255)).alias("v")) for i in cuts))
     items = signatures(table(spark, sf_dir, "eval_items"), "item_id").groupBy("signature").agg(F.min("item_id").alias("item_id"))
-    docs = signatures(table(spark, sf_dir, "documents"), "doc_id")
+    docs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")
     distinct = docs.select("signature").distinct()
     left = distinct.select(F.col("signature").alias("s"), F.explode(bands(F.col("signature"))).alias("band"))
     right = items.select(F.col("signature").alias("t"), "item_id", F.explode(bands(F.col("signature"))).alias("band"))
