@@ -167,7 +167,7 @@ def test_conversation_pairs(spark):
         ("Bu bölümü MEHMET GÜNDAĞLIGİL yazdı", ["person_name"]),
         ("Uludağlıgil, Zeynep", ["person_name"]),
         ("Sayın H. Günsurkan geldi", ["person_name"]),
-        ("Karabellioğlu, Barış\tahmet.kara@derlem.example\t1999", ["person_name", "email"]),
+        ("Karabellioğlu, Barış\tahmet.kara@ornek.example\t1999", ["person_name", "email"]),
         ("not: kozpınarsoy yusuf aradı", ["person_name"]),
         ("Ayşe Hatun İlkokulu 1929 yılında açıldı", []),
         ("", []),
