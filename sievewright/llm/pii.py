@@ -27,8 +27,11 @@ from sievewright.tables import spread
 PRIORITY = ("email", "iban", "payment_card", "id_number", "phone", "address", "person_name")
 KEY = b"sievewright pseudonyms"
 
-AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\s+at\s+(?=[\w-]+\s+dot\s))"
-DOT = r"(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)"
+#: Turkish "et" is also a French and a Turkish word: in brackets it needs a host with a dot after it, bare a host with "nokta" that no ordinary phrase makes.
+ET = r"\s?[\[({]\s?et\s?[\])}]\s?(?=[\w-]+(?:\.[a-z]|\s?[\[({]\s?(?:nokta|dot)\b|\s+(?:nokta|dot)\s))|\s+et\s+(?!(?:bir|her|bu|şu|o|son|ilk|tek|iki|üç)\s)(?=[\w-]+(?:\s+nokta\s|\s?[\[({]\s?nokta\b))"
+AT = rf"(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?|\s+at\s+(?=[\w-]+\s+dot\s)|{ET})"
+DOT = r"(?:\s?\.\s?|\s?[\[({]\s?(?:dot|nokta)\s?[\])}]\s?|\s+(?:dot|nokta)\s+)"
+AT_WORD = re.compile(r"\bat\b|[\[({]\s?et\s?[\])}]", re.I)
 EMAIL = re.compile(rf"(?<![\w.+-])[a-z0-9](?:[\w.+-]*\w)?{AT}[a-z0-9][\w-]*(?:(?:\.|{DOT})[a-z][\w-]+)+", re.I)
 IBAN = re.compile(r"(?<!\w)([A-Za-z]{2})(\d{2})((?:[ -]?[A-Za-z0-9]){11,30})(?!\w)")
 IBAN_LENGTHS = {"TR": 26, "DE": 22, "FR": 27, "GB": 22, "NL": 18, "IT": 27, "ES": 24, "AT": 20, "CH": 21, "BE": 16, "PT": 25, "PL": 28, "SE": 24, "DK": 18}
@@ -110,7 +113,7 @@ class Finder:
             if all(b <= x or a >= y for x, y, _ in found):
                 found.append((a, b, kind))
 
-        if "@" in line or re.search(r"\bat\b", line, re.I):
+        if "@" in line or AT_WORD.search(line) or ("nokta" in line.lower() and re.search(r"\bet\b", line, re.I)):
             for m in EMAIL.finditer(line):
                 add(*m.span(), "email")
         if has_digits >= 10:

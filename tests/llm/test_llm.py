@@ -202,6 +202,28 @@ def test_masked(spark):
     assert rows(pii.found_lines(d)) == [(1, "phone", 1)]
 
 
+@pytest.mark.parametrize(
+    ("line", "address"),
+    [
+        ("Soru: elif_er24 (et) derlem nokta example için", "elif_er24 (et) derlem nokta example"),
+        ("ayse+yesil (et) posta nokta okul nokta example Das", "ayse+yesil (et) posta nokta okul nokta example"),
+        ("dkara [et] kurum-a [nokta] invalid;1", "dkara [et] kurum-a [nokta] invalid"),
+        ("dkara{et}kurum-a(nokta)invalid;1", "dkara{et}kurum-a(nokta)invalid"),
+        ("Yaz: UMUT.GUN ET POSTA NOKTA TEST, bekle", "UMUT.GUN ET POSTA NOKTA TEST"),
+        ("noz (ET) posta.example, bekle", "noz (ET) posta.example"),
+        ("noz@posta nokta example, bekle", "noz@posta nokta example"),
+        ("Le chapitre (et) suite. Puis la note et le point", None),
+        ("Dikkat et her nokta önemli, not et bir nokta daha", None),
+    ],
+)
+def test_turkish_addresses(spark, line, address):
+    assert [line[a:b] for a, b, k in pii.Finder().line(line) if k == "email"] == [address] * (address is not None)
+    d = spark.createDataFrame([(1, "Son\n" + line)], "revision_id long, content_text string")
+    assert rows(pii.found_lines(d)) == [(1, "email", 2)] * (address is not None)
+    text = pii.masked(d).collect()[0]["masked_text"]
+    assert text == "Son\n" + (line if address is None else line.replace(address, pii.Pseudonyms().placeholder("email", address)))
+
+
 # 4, 6, 7
 
 
