@@ -5,8 +5,8 @@ compares the language posteriors of question and answer under a character
 trigram naive Bayes fitted on all questions with their (partly wrong) labels.
 truncated compares the likelihood that a text ends where the answer does,
 under a back-off n-gram model of what precedes sentence ends, counted over all
-answers; contexts are hashed into tables of fixed size, so what reaches the
-driver does not grow with the data.
+answers by 64-bit keys. The counts stay distributed: they are joined to the
+last contexts of the answers whose form leaves the end open.
 
 A pair has at most one defect, the first of DEFECTS that holds. Defined
 results: a null question never makes copied or wrong_language; texts without
@@ -18,8 +18,8 @@ id gives no row in the findings.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import ngram
-from sievewright.tables import spread
+from sievewright.tables import spread, written
 
 DEFECTS = ("empty", "copied", "refusal", "wrong_language", "truncated")
 
@@ -143,7 +143,7 @@ class Languages:
 
 TOKEN = re.compile(r"\d[\d.,]*|[^\W\d_]+|[^\w\s]")
 STOPS = frozenset(".!?…")
-ORDER, BUCKETS = 5, 1 << 18
+ORDER, BUCKETS = 5, 1 << 18  # contexts of a token; contexts that a worker holds before it passes their counts on
 LEAST_SEEN = 3  # rarer contexts say nothing
 
 
@@ -161,81 +161,102 @@ def shapes(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def contexts(shape: list[tuple[str, str, str]], i: int) -> list[int]:
-    """Hashed contexts up to and including token i, from general to special: its ending,
+def frames(shape: list[tuple[str, str, str]], i: int) -> list[str]:
+    """Contexts up to and including token i, from general to special: its ending,
     the word itself, then its ending after the frames of two, four and seven tokens."""
     last = shape[i][1]
-    keys = [last, "w" + shape[i][0]]
-    keys += [last + "\x1e" + "\x1f".join(x[2] for x in shape[max(0, i - k) : i]) for k in (2, 4, 7)]
-    return [zlib.crc32(k.encode()) % BUCKETS for k in keys]
+    keys = ["0" + last, "1" + shape[i][0]]
+    return keys + [f"{n}{last}\x1e" + "\x1f".join([x[2] for x in shape[max(0, i - k) : i]]) for n, k in ((2, 2), (3, 4), (4, 7))]
+
+
+def key_of(frame: str) -> int:
+    return int.from_bytes(blake2b(frame.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def contexts(shape: list[tuple[str, str, str]], i: int) -> list[int]:
+    """64-bit keys of the frames."""
+    return [key_of(f) for f in frames(shape, i)]
 
 
 def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros((2, ORDER * BUCKETS), dtype=np.int64)
+    seen: dict[str, int] = {}
+    ended: dict[str, int] = {}
+
+    def counted() -> pa.RecordBatch:
+        columns = [key_of(f) for f in seen], list(seen.values()), [ended.get(f, 0) for f in seen]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["context", "n", "ends"])
+
     for batch in batches:
-        at, ends = [], []
         for text in batch.column(0).to_pylist():
             shape = shapes(text or "")
             for i in range(len(shape) - 1):
                 if shape[i][0] in STOPS:
                     continue
                 end = shape[i + 1][0] in STOPS
-                for k, h in enumerate(contexts(shape, i)):
-                    at.append(k * BUCKETS + h)
-                    ends.append(end)
-        at, ends = np.array(at, dtype=np.int64), np.array(ends, dtype=bool)
-        seen[0] += np.bincount(at, minlength=ORDER * BUCKETS)
-        seen[1] += np.bincount(at[ends], minlength=ORDER * BUCKETS)
-    used = np.flatnonzero(seen[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0][used]), pa.array(seen[1][used])], names=["context", "n", "ends"])
+                for f in frames(shape, i):
+                    seen[f] = seen.get(f, 0) + 1
+                    if end:
+                        ended[f] = ended.get(f, 0) + 1
+                if len(seen) > BUCKETS:
+                    yield counted()
+                    seen.clear()
+                    ended.clear()
+    yield counted()
+
+
+def fit_ends(answers: DataFrame) -> DataFrame:
+    """(context, n, ends): how often each context was seen and ended a sentence, over all answers."""
+    rows = spread(answers).mapInArrow(_count_ends, "context long, n long, ends long")
+    return rows.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where(F.col("n") >= LEAST_SEEN)
+
+
+def end_rate(counts: Iterable[tuple[int, int]], prior: float = 0.05, weight: float = 2.0) -> float:
+    """Likelihood of an end by the (seen, ended) counts of the contexts, from general to special."""
+    p = prior
+    for k, (n, ends) in enumerate(counts):
+        if k == WHOLE and n < LEAST_SEEN:
+            p *= UNSEEN
+        if n < LEAST_SEEN:
+            continue
+        p = (ends + weight * p) / (n + weight)
+    return float(p)
 
 
-def fit_ends(answers: DataFrame) -> np.ndarray:
-    """(seen, ended) counts of every context bucket, over all answers."""
-    rows = spread(answers).mapInArrow(_count_ends, "context long, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toPandas()
-    counts = np.zeros((2, ORDER * BUCKETS), dtype=np.float32)
-    counts[:, rows["context"].to_numpy(dtype=np.int64)] = rows[["n", "ends"]].to_numpy().T
-    return counts
+def open_end(answer: str) -> bool | list[int]:
+    """Whether the answer's form shows that it is cut; the contexts of its last word where the form leaves that open."""
+    text = CODE.sub(" ", answer) if answer.count("`") % 2 == 0 else answer
+    text = re.sub(r"[\s*_~​]+$", "", text)
+    if not text:
+        return False
+    if OPEN_NUMBER.search(text):
+        return True
+    last = text.rstrip("\"”’»“)]' ")
+    if not last or last[-1] in STOPS:
+        return False
+    lines = [x for x in text.split("\n") if x.strip()]
+    entry = ITEM.sub("", lines[-1])
+    if len(WORD.findall(entry)) <= 3 and text[-1] not in ",;(" and (len(lines) > 1 or len(WORD.findall(text)) <= 2):
+        others = [ITEM.sub("", x) for x in lines[:-1]]
+        if all(len(WORD.findall(x)) <= 5 for x in others):
+            return False
+    if text[-1] in ",;:(–-/":
+        return True
+    shape = shapes(text)
+    return contexts(shape, len(shape) - 1) if shape else False
 
 
 class Endings:
-    def __init__(self, counts: np.ndarray, prior: float = 0.05, weight: float = 2.0):
-        self.counts, self.prior, self.weight = counts, prior, weight
-
-    def likelihood(self, text: str) -> float:
-        """Likelihood that a sentence ends after the text's last word."""
-        shape = shapes(text)
-        if not shape:
-            return 1.0
-        p = self.prior
-        for k, h in enumerate(contexts(shape, len(shape) - 1)):
-            n, ends = self.counts[:, k * BUCKETS + h]
-            if k == WHOLE and n < LEAST_SEEN:
-                p *= UNSEEN
-            if n < LEAST_SEEN:
-                continue
-            p = (ends + self.weight * p) / (n + self.weight)
-        return float(p)
+    """counts has the (seen, ended) rows of the contexts in keys; other contexts are unseen."""
+
+    def __init__(self, counts: np.ndarray, keys: Iterable[int] = (), prior: float = 0.05, weight: float = 2.0):
+        self.counts, self.at, self.prior, self.weight = counts, {h: i for i, h in enumerate(keys)}, prior, weight
 
     def truncated(self, answer: str) -> bool:
-        text = CODE.sub(" ", answer) if answer.count("`") % 2 == 0 else answer
-        text = re.sub(r"[\s*_~​]+$", "", text)
-        if not text:
-            return False
-        if OPEN_NUMBER.search(text):
-            return True
-        last = text.rstrip("\"”’»“)]' ")
-        if not last or last[-1] in STOPS:
-            return False
-        lines = [x for x in text.split("\n") if x.strip()]
-        entry = ITEM.sub("", lines[-1])
-        if len(WORD.findall(entry)) <= 3 and text[-1] not in ",;(" and (len(lines) > 1 or len(WORD.findall(text)) <= 2):
-            others = [ITEM.sub("", x) for x in lines[:-1]]
-            if all(len(WORD.findall(x)) <= 5 for x in others):
-                return False
-        if text[-1] in ",;:(–-/":
-            return True
-        return self.likelihood(text) < ENDS
+        last = open_end(answer)
+        if isinstance(last, bool):
+            return last
+        counts = [self.counts[:, self.at[h]] if h in self.at else (0, 0) for h in last]
+        return end_rate(counts, self.prior, self.weight) < ENDS
 
 
 SCHEMA = "record_id string, answer_pos long, defect string"
@@ -268,31 +289,57 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 def defective(pairs: DataFrame) -> DataFrame:
     """(record_id, answer_pos, defect) of the defective pairs."""
     languages = ngram.log_joint(ngram.fit(pairs, "lang", "question"))
-    ends = fit_ends(pairs.select("answer"))
-    shared = pairs.sparkSession.sparkContext.broadcast((languages, ends))  # 8 MB at any input size
+    shared = pairs.sparkSession.sparkContext.broadcast(languages)  # 4 MB at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_joint, counts = shared.value
-        judge, endings = Languages(log_joint), Endings(counts)
+        judge = Languages(shared.value)
         for batch in batches:
             rows = []
             for rid, pos, question, answer in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                defect = defect_of(question, answer, judge, endings)
-                if defect and rid is not None:
-                    rows.append((rid, pos, defect))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["record_id", "answer_pos", "defect"])
+                if rid is None:
+                    continue
+                defect = form_defect(question, answer, judge)
+                last = [] if defect else open_end(answer)
+                if defect or last is True:
+                    rows.append((rid, pos, defect or "truncated", None))
+                elif last:
+                    rows.append((rid, pos, None, last))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["record_id", "answer_pos", "defect", "contexts"])
 
-    return spread(pairs.select("record_id", "answer_pos", "question", "answer")).mapInArrow(run, SCHEMA).distinct()
+    judged = spread(pairs.select("record_id", "answer_pos", "question", "answer")).mapInArrow(run, SCHEMA + ", contexts array<long>").distinct()
+    judged = written(judged, "pairs")  # both parts below are read from it
+    clear = judged.where("defect is not null").select("record_id", "answer_pos", "defect")
+    return clear.unionByName(cut_ends(judged.where("defect is null"), fit_ends(pairs.select("answer")))).distinct()
 
 
-def defect_of(question: str | None, answer: str | None, languages: Languages, endings: Endings) -> str | None:
+def cut_ends(answers: DataFrame, ends: DataFrame) -> DataFrame:
+    """The answers (record_id, answer_pos, contexts) whose last contexts rarely end a sentence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [end_rate((c["n"], c["ends"]) for c in counts) < ENDS for counts in batch.column(2).to_pylist()]
+            kept = batch.filter(pa.array(cut, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(["truncated"] * kept.num_rows, pa.string())], names=["record_id", "answer_pos", "defect"])
+
+    each = answers.select("record_id", "answer_pos", "contexts", F.posexplode("contexts").alias("k", "context"))
+    counts = F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"))
+    rows = each.join(ends, "context", "left").groupBy("record_id", "answer_pos", "contexts").agg(F.sort_array(F.collect_list(counts)).alias("counts"))
+    return rows.select("record_id", "answer_pos", "counts").mapInArrow(run, SCHEMA)
+
+
+def form_defect(question: str | None, answer: str | None, languages: Languages) -> str | None:
+    """The defect that needs no end-of-text likelihood."""
     if is_empty(answer):
         return "empty"
     if is_copied(question, answer):
         return "copied"
     if is_refusal(question, answer):
         return "refusal"
-    if languages.differ(question, answer):
-        return "wrong_language"
-    return "truncated" if endings.truncated(answer) else None
+    return "wrong_language" if languages.differ(question, answer) else None
+
+
+def defect_of(question: str | None, answer: str | None, languages: Languages, endings: Endings) -> str | None:
+    defect = form_defect(question, answer, languages)
+    return defect or ("truncated" if endings.truncated(answer) else None)

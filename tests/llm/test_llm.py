@@ -146,6 +146,22 @@ def test_conversation_pairs(spark):
     assert ("c", 7, "empty") in rows(pairs.defective(pairs.conversation_pairs(d)))
 
 
+def test_contexts_do_not_collide():
+    assert len({k for n in range(100_000) for k in pairs.contexts([(f"wort{n}", f"~{n}", "_")], 0)}) == 500_000
+
+
+def test_unseen_word_takes_no_counts_of_another(spark):
+    import zlib
+
+    bucket = zlib.crc32(b"wkestanelerden") % (1 << 18)
+    rng = random.Random(8)
+    other = next(w for w in ("".join(rng.choices("abcdefghiklmnoprstuvyz", k=9)) for _ in range(20_000_000)) if zlib.crc32(b"w" + w.encode()) % (1 << 18) == bucket)
+    whole = [(f"w{i}", 0, None, f"Bu {other}. Yol bitti.", "tr") for i in range(9)]
+    d = spark.createDataFrame([*whole, ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("same", 0, None, f"Yol üzerinde yeni bir {other}", "tr"), (None, 0, None, "Yol üzerinde kestanelerden", "tr")], "record_id string, answer_pos long, question string, answer string, lang string")
+    assert rows(pairs.defective(d)) == [("cut", 0, "truncated")]
+    assert rows(pairs.fit_ends(d.select("answer")).where(f"context = {pairs.key_of('1' + other)}").select("n", "ends")) == [(9, 9)]
+
+
 # 5
 
 
