@@ -142,23 +142,27 @@ def near_duplicate_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigs.join(classes, "signature").select("doc_id", "class_id", "copies")
 
 
-def greedy_resolution(pairs: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def greedy_resolution(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Kept nodes of the lexicographically first maximal independent set.
 
     In id order a node is dropped if a kept smaller node is near. Each round
-    settles all nodes whose smaller neighbours are settled; the state is
-    written to the shared folder, and only counts come to the driver.
+    settles all nodes whose smaller neighbours are settled, at least the
+    smallest open one, so chains of any length end; the state is written to
+    the shared folder, and only counts come to the driver. Pairs that don't
+    rise from left to right may never settle and are an error.
     """
     state = written(nodes.select("class_id", F.lit(None).cast("boolean").alias("kept")), "resolution")
     near = written(pairs.select("left_id", "right_id"), "near")
-    for _ in range(rounds):
+    left = None
+    while left != 0:
         smaller = near.join(state.select(F.col("class_id").alias("left_id"), "kept"), "left_id")
         seen = smaller.groupBy(F.col("right_id").alias("class_id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
         joined = state.join(seen, "class_id", "left")
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
         state = written(joined.select("class_id", now.alias("kept")), "resolution")
-        if state.where("kept is null").isEmpty():
-            break
+        before, left = left, state.where("kept is null").count()
+        if left and left == before:
+            raise ValueError(f"{left} classes stay open: pairs do not rise from left to right")
     return state
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,6 +74,18 @@ def test_near_pairs_are_complete(spark):
     assert got == {(i, j) for i, j in combinations(range(len(sigs)), 2) if sigs[i] != sigs[j] and (sigs[i] ^ sigs[j]).bit_count() <= 3}
 
 
+def test_greedy_resolution_of_a_long_chain(spark):
+    pairs = spark.range(69).selectExpr("id as left_id", "id + 1 as right_id").coalesce(1)
+    state = dedup.greedy_resolution(pairs, spark.range(70).withColumnRenamed("id", "class_id").coalesce(1))
+    assert {r["class_id"]: r["kept"] for r in state.collect()} == {i: i % 2 == 0 for i in range(70)}
+
+
+def test_greedy_resolution_of_a_cycle(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "left_id long, right_id long")
+    with pytest.raises(ValueError, match="2 classes stay open"):
+        dedup.greedy_resolution(pairs, spark.createDataFrame([(1,), (2,)], "class_id long"))
+
+
 def test_greedy_resolution(spark):
     rng = random.Random(3)
     edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
