@@ -76,6 +76,18 @@ class Items:
         self.place = np.concatenate(places)[order] if hashes else np.empty(0, np.int64)
         self.hash, first = np.unique(h[order], return_index=True)
         self.bounds = np.append(first, len(h))
+        self.short: dict[tuple[int, ...], list[int]] = {}  # items with fewer than two seeds, by all their words
+        for i, w in enumerate(self.words):
+            if 0 < len(w) <= SEED:
+                self.short.setdefault(tuple(w.tolist()), []).append(i)
+        self.short_first = np.unique([w[0] for w in self.short]).astype(np.int64)
+        self.short_lengths = sorted({len(w) for w in self.short})
+
+    def whole(self, ids: np.ndarray) -> set[int]:
+        """Short items whose words occur one after another."""
+        starts = np.flatnonzero(np.isin(ids, self.short_first)).tolist() if self.short else []
+        found = {tuple(ids[a : a + n].tolist()) for a in starts for n in self.short_lengths}
+        return {i for w in found & self.short.keys() for i in self.short[w]}
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, place in item, place in document) of each shared seed."""
@@ -100,11 +112,13 @@ class Items:
         """Ids of the items that the text contains."""
         ids = np.array([self.vocabulary.get(w, -1) for w in words(text)], dtype=np.int64)
         owner, p, q = self.hits(ids)
-        found = []
+        found = [self.ids[i] for i in sorted(self.whole(ids))]
         if not len(owner):
             return found
         counts = np.bincount(owner, minlength=len(self.ids))
         for item in np.flatnonzero(counts >= 2):
+            if len(self.words[item]) <= SEED:
+                continue
             own = owner == item
             if self._leaks(self.words[item], ids, p[own], q[own]):
                 found.append(self.ids[item])

@@ -326,6 +326,13 @@ def test_leak_cases(spark):
     assert rows(leak.leaked(docs, items.limit(0))) == []
 
 
+def test_short_items_leak_whole(spark):
+    texts = {1: "x Mavi, KAPI y", 2: "kapı mavi", 3: "mavi x kapı", 4: "x BİR ikinci,\nüç dört beş", 5: "kuzu", 6: "bir ikinci üç yedi; bir ikinci üç", 7: "", 8: "a b c d e"}
+    items = [(10, "Mavi kapı"), (11, "mavi  kapi!"), (20, "bir ikinci üç dört"), (30, "Kuzu."), (40, "?!"), (50, "a b c d e"), (60, "bir ikinci üç")]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert rows(leak.leaked(docs, spark.createDataFrame(items, "item_id long, text string"))) == [(1, 10), (1, 11), (4, 20), (4, 60), (5, 30), (6, 60), (8, 50)]
+
+
 def test_tiling_never_overlaps():
     import numpy as np
 
