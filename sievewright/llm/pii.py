@@ -8,8 +8,9 @@ and formats stay valid; other values get a keyed tag.
 
 Defined results: null and empty texts have no findings and come back as they
 are; line numbers count from 1 at line feeds; where findings overlap the
-earlier type in PRIORITY wins; redelivered revisions give one row; very long
-lines are searched whole.
+earlier type in PRIORITY wins; redelivered revisions give one row; without an
+id nothing tells a redelivery, so each such row stays in the masked texts and
+none is in found_lines; very long lines are searched whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievewright.tables import spread
 
@@ -297,7 +299,8 @@ def masked(docs: DataFrame, id_col: str = "revision_id", text_col: str = "conten
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["revision_id", "masked_text", "findings"])
 
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return spread(rows).mapInArrow(run, MASKED).dropDuplicates(["revision_id"])
+    apart = F.when(F.col("revision_id").isNull(), F.monotonically_increasing_id())
+    return spread(rows).mapInArrow(run, MASKED).withColumn("_row", apart).dropDuplicates(["revision_id", "_row"]).drop("_row")
 
 
 def found_lines(docs: DataFrame, **columns: str) -> DataFrame:

@@ -218,6 +218,14 @@ def test_masked(spark):
     assert rows(pii.found_lines(d)) == [(1, "phone", 1)]
 
 
+def test_masked_without_ids(spark):
+    texts = ["Tel: 0594 652 66 49", "yok", "yok", None]
+    d = spark.createDataFrame([(None, t) for t in texts] + [(7, "yok"), (7, "yok")], "revision_id long, content_text string").repartition(3)
+    got = pii.masked(d).collect()
+    assert sorted(str(r["masked_text"])[:10] for r in got if r["revision_id"] is None) == ["None", "Tel: [PHON", "yok", "yok"]
+    assert [r["masked_text"] for r in got if r["revision_id"] == 7] == ["yok"]
+
+
 @pytest.mark.parametrize(
     ("line", "address"),
     [
