@@ -35,10 +35,11 @@ from sievewright.llm import ngram
 from sievewright.tables import spread
 
 WRONG = ("cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "cp1253", "mac_roman", "mac_turkish", "cp437", "cp850", "cp857", "iso8859-9", "iso8859-2")
-LEGACY = ("latin-1", "cp1252")
+LEGACY = ("latin-1", "cp1252", "cp1250", "cp1251", "cp857")
 EXPECTED = frozenset("çğıöşüÇĞİÖŞÜäßÄéèêëàâîïôûùœæÉÈÊËÀÂÎÏÔÛÙŒ")
 TYPOGRAPHIC = frozenset("’‘“”„‚‹›«»–—…•©®°€§ ")
 RUN = re.compile(r"[^\x00-\x7f]+")
+ENTITY = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|[a-zA-Z][a-zA-Z\d]*);")
 VALID = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 QUOTES = "“”„‘’\"'«»‹›()[]`"
 MAX_STATES = 60
@@ -46,7 +47,7 @@ MAX_STATES = 60
 
 def cost(s: str) -> float:
     """Implausibility of a string's characters."""
-    total = 0.0
+    total = 0.5 * len(ENTITY.findall(s)) if "&" in s else 0.0
     for ch in s:
         if ch < "\x80":
             continue
@@ -124,7 +125,7 @@ def search(s: str) -> tuple[str, tuple[str, ...]]:
         c, depth, now, ops = heapq.heappop(heap)
         if (c, depth) < best:
             best, found, path = (c, depth), now, ops
-        if depth >= 4 or now.isascii():
+        if depth >= 4 or (now.isascii() and "&" not in now):
             continue
         for op, after in edges(now, depth == 0):
             if after not in seen:
@@ -175,6 +176,8 @@ class Repairer:
         return self.known[s]
 
     def _is_turkish(self, s: str, fixed: str) -> bool:
+        if "Ã" in s and EXPECTED.issuperset("".join(RUN.findall(s)).replace("Ã", "")):  # as well half a UTF-8 letter whose rest is lost
+            return False
         words = [w for w in re.findall(r"[^\W\d_]+", fixed) if not w.isascii()]
         least = LIKELY.get(min(max(map(len, words), default=0), 5))
         return least is not None and all(TURKISH.issuperset(w) for w in words) and min(map(self.likelihood, words)) > least
@@ -193,7 +196,7 @@ class Repairer:
                 if kind:
                     hits += 1
                     spans.append((m.start(), m.end(), fixed))
-                    alone += kind == "utf8" and self._is_example(m[0], fixed, tokens == 1)
+                    alone += kind == "utf8" and self._is_example(html.unescape(m[0]), fixed, tokens == 1)
         if not hits or alone == hits:
             return line, lost
         if LEGACY_MARKS.search(line):  # the short words of a line that is affected anyway
@@ -242,7 +245,7 @@ def repairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             ids, out, whole = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is None or text.isascii():
+                if text is None or (text.isascii() and "&" not in text):
                     continue
                 fixed, bad = repairer.text(text)
                 if bad:

@@ -395,6 +395,25 @@ def test_twice_wrong_and_legacy():
     assert repairer().text("Yazar arþivindeki deðerlendirmiþtir") == ("Yazar arşivindeki değerlendirmiştir", True)
 
 
+@pytest.mark.parametrize("garbled", ["g&Atilde;&frac14;n bitti", "g&#195;&#188;n bitti", "g&#xC3;&#xBC;n bitti"])
+def test_escaped_garble(spark, garbled):
+    assert repairer().text(garbled) == ("gün bitti", True)
+    d = spark.createDataFrame([(1, garbled, "tr"), (2, "a &amp; b", "tr"), (3, "AT&T", "tr")], "doc_id long, text string, lang string")
+    assert rows(mojibake.affected(d)) == [(1,)]
+
+
+@pytest.mark.parametrize("codec", ["cp1250", "cp1251", "cp857"])
+def test_other_code_pages(codec):
+    text = "Yazar arşivindeki değerlendirmiştir"
+    table = {b: ch for ch, b in mojibake._bytes_of(codec).items()}
+    assert repairer().text("".join(table[b] for b in text.encode("cp1254"))) == (text, True)
+
+
+@pytest.mark.parametrize("text", ["g&uuml;n &amp; gece", "a&b; R&D", "The mark “&Auml;&Yuml;” is quoted here.", "Constanţa, Đakovo", "Ãnbellekten, Ãerezleri", "x &lt; y &amp;&amp; z"])
+def test_escaped_and_foreign_text_stays(text):
+    assert repairer().text(text) == (text, False)
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "Garðabær, Þórshöfn ve Łódź", "Die Folge Ä± nennt man Zeichensalat; hier nur als Beispiel.", "The mark “ÄŸ” is quoted here.", "ÄRZTE und ÅNGSTRÖM", "Привет, мир", "∑ᵢ xᵢ² ≤ 10⁻³", "été über", "漢字かな 👩‍🔬", "Die Folge � nennt man so"],
