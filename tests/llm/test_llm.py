@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,7 +90,43 @@ PROSE = "Her kaynak gibi bu sunucu, tutarsız dizinlerin içinde anlam kazandı.
     ],
 )
 def test_kinds(text, kind):
-    assert quality.measure(text)["kind"] == kind
+    c = quality.Counted([PROSE, text, PROSE])
+    got = quality.kinds(c.counts, c.mass, c.text_of_segment, 3, quality.smoothed(quality.seeds()))
+    assert got == ["prose", kind, "prose"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=5))
+def test_counts_against_plain_ones(texts):
+    c = quality.Counted(texts)
+    for i, text in enumerate(texts):
+        seen = [ch for ch in text if not ch.isspace()]
+        assert c.visible[i] == len(seen)
+        assert c.parts[i] == len(re.findall(r"[^\W_]+", text))
+        assert c.words[i] == len(re.findall(r"[^\W_]+(?:['’][^\W_]+)*", text))
+    assert c.mass.sum() == c.visible.sum() and len(c.text_of_segment) == c.segments
+
+
+def test_divergence_is_symmetric_and_zero_at_home():
+    p = quality.smoothed(quality.seeds())
+    d = quality.divergence(p, p)
+    assert abs(np.diag(d)).max() < 1e-9 and abs(d - d.T).max() < 1e-9 and d.min() > -1e-9
+
+
+def test_texts_counted_apart_or_together():
+    texts = [PROSE, "", "a\tb\t1\nc\td\t2", "veri " * 30, "x"]
+    whole = quality.Counted(texts)
+    for i, text in enumerate(texts):
+        alone = quality.Counted([text])
+        own = whole.text_of_segment == i
+        assert (whole.counts[own] == alone.counts).all() and whole.words[i] == alone.words[0]
+
+
+def test_profiles_are_counted_from_the_corpus(spark):
+    d = spark.createDataFrame([(i, "Cümle ve sözcük için yeni bir yol vardır, ama kimse bilmez. " * 3) for i in range(9)], "revision_id long, content_text string")
+    counted = d.selectExpr("revision_id", "0L a", "0L b", "content_text").mapInArrow(quality._count, quality.COUNTED)
+    moved = abs(quality.fitted(counted) - quality.smoothed(quality.seeds())).sum(axis=1)
+    assert moved[[k == "prose" for k, _ in quality.EXEMPLARS]].max() > 0.1
 
 
 def test_statistics_rows(spark):
