@@ -1,10 +1,18 @@
 """Problem 5: personal data in free text.
 
 Each line is searched for seven types; numbers count only where their check
-digits hold. Findings are replaced by typed placeholders that carry a keyed
-pseudonym: digits are permuted within their format by a Feistel network and
-check digits are computed anew, so equal values stay linked across documents
-and formats stay valid; other values get a keyed tag.
+digits hold, telephone numbers where their length fits the numbering plan.
+Names are read from shape and context: a given name or a title before words
+in capitals or in title case, less what marks streets, institutions and plain
+sentences. Dates of birth are found too, but only for masking.
+
+Findings are replaced by typed placeholders that carry a keyed pseudonym:
+validated numbers and dates are permuted within their format by a Feistel
+network and check digits are computed anew, so equal values stay linked across
+documents and formats stay valid; other values get a keyed tag. The letters of
+an IBAN and the digits of a phone before its last seven stay as they are.
+Without a key a new one is drawn for the run, so that nobody can reverse the
+pseudonyms; a kept key links runs.
 
 Defined results: null and empty texts have no findings and come back as they
 are; line numbers count from 1 at line feeds; where findings overlap the
@@ -15,9 +23,11 @@ none is in found_lines; very long lines are searched whole.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +36,8 @@ from pyspark.sql import functions as F
 
 from sievewright.tables import spread
 
-PRIORITY = ("email", "iban", "payment_card", "id_number", "phone", "address", "person_name")
-KEY = b"sievewright pseudonyms"
+TYPES = ("email", "iban", "payment_card", "id_number", "phone", "address", "person_name")
+PRIORITY = (*TYPES[:5], "birth_date", *TYPES[5:])
 
 #: Turkish "et" is also a French and a Turkish word: in brackets it needs a host with a dot after it, bare a host with "nokta" that no ordinary phrase makes.
 ET = r"\s?[\[({]\s?et\s?[\])}]\s?(?=[\w-]+(?:\.[a-z]|\s?[\[({]\s?(?:nokta|dot)\b|\s+(?:nokta|dot)\s))|\s+et\s+(?!(?:bir|her|bu|şu|o|son|ilk|tek|iki|üç)\s)(?=[\w-]+(?:\s+nokta\s|\s?[\[({]\s?nokta\b))"
@@ -35,9 +45,15 @@ AT = rf"(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?|\s+at\s+(?=[\w-]+\s+dot\s)|{ET})
 DOT = r"(?:\s?\.\s?|\s?[\[({]\s?(?:dot|nokta)\s?[\])}]\s?|\s+(?:dot|nokta)\s+)"
 AT_WORD = re.compile(r"\bat\b|[\[({]\s?et\s?[\])}]", re.I)
 EMAIL = re.compile(rf"(?<![\w.+-])[a-z0-9](?:[\w.+-]*\w)?{AT}[a-z0-9][\w-]*(?:(?:\.|{DOT})[a-z][\w-]+)+", re.I)
-IBAN = re.compile(r"(?<!\w)([A-Za-z]{2})(\d{2})((?:[ -]?[A-Za-z0-9]){11,30})(?!\w)")
-IBAN_LENGTHS = {"TR": 26, "DE": 22, "FR": 27, "GB": 22, "NL": 18, "IT": 27, "ES": 24, "AT": 20, "CH": 21, "BE": 16, "PT": 25, "PL": 28, "SE": 24, "DK": 18}
-TR_IBAN = re.compile(r"(?<!\w)TR\d{2}(?:[ -]?\d){22}(?!\w)", re.I)
+IBAN = re.compile(r"(?<!\w)([A-Za-z]{2})(\d{2})(?=[ -]?[A-Za-z0-9])")
+IBAN_PART = re.compile(r"[ -]?[A-Za-z0-9]")
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 CARD = re.compile(r"(?<![\w])(?<!\d[-. ])\d{4}([ .-]?)\d{4}\1\d{4}\1\d{4}(?!\w)(?![-. ]\d)")
 ID_NUMBER = re.compile(r"(?<!\w)(?<!\d[-.])[1-9](?:[ .-]?\d){10}(?!\w)(?![-.]\d)")
 PHONE = re.compile(
@@ -45,6 +61,19 @@ PHONE = re.compile(
     r"(?:(?:(?:\+|00)?90[ .-]?|0[ .-]?)?\(?0?[ ]?5\d{2}\)?|(?:(?:\+|00)?90[ .-]?\(?0?|\(?0[ .-]?\(?)[2-4]\d{2}\)?)"
     r"[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\w)(?![-./]\d)"
 )
+#: Numbers of other countries: with a country code after + or 00, or in the national form of France, Germany, Britain and North America.
+OTHER_PHONE = re.compile(
+    r"(?<![\w+])(?<!\d[-./])(?:"
+    r"(?:\+|00[ .-]?)(?!90)[1-9]\d{0,2}(?:[ .-]?\(0?\d{0,4}\))?(?:[ .-/]?\d){6,12}"
+    r"|(?<![\da-f]{2} )0[1-9](?:[ .]\d\d){4}(?! [\da-f]{2}\b)"
+    r"|\(0\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d){3,5}"
+    r"|0(?:1[5-7]\d|20|30|40|69|89|1\d{3}|7\d{3})[ /-]\d{3,4}[ -]?\d{3,5}"
+    r"|(?:1[ .-])?\([2-9]\d{2}\)[ .-]?[2-9]\d{2}[ .-]\d{4}"
+    r")(?!\w)(?![-./]\d)"
+)
+BIRTH = re.compile(r"(?:doğum(?:\s+tarihi)?|doğumlu|d\.?\s?tarihi|born(?:\s+on)?|date of birth|birth\s?date|dob|geb(?:oren|\.)(?:\s+am)?|geburtsdatum|née?(?:\s+le)?|date de naissance)\s*[:=(]?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)", re.I)
+DATE = re.compile(r"(\d{4})-(\d{2})-(\d{2})|(\d{1,2})([./-])(\d{1,2})\5(\d{4})")
+STREET = re.compile(r"cad|sok|bulvar|blv|yolu|çıkmaz|\b(?:sk|cd)\b|stra(?:ß|ss)e|str\.|gasse|allee|platz|weg|street|road|avenue|lane|drive|square|rue|boulevard|quai|place|impasse|chemin", re.I)
 NAMEWORD = r"[^\W\d_][\w'’-]*"
 ADDRESS = re.compile(
     rf"(?:{NAMEWORD}\s+)(?:caddesi|caddesı|cadde|cad|cd|sokağı|sokagi|sokak|sok|sk|bulvarı|bulvar|blv|yolu|çıkmazı)\b\.?\s*,?\s*(?:(?:no|numara|nr)\b\s*[.:]?\s*)?\d+(?:\s?/\s?\d+)?"
@@ -54,19 +83,32 @@ ADDRESS = re.compile(
     rf"|(?<!\w)(?:rue|avenue|boulevard)\s+(?:de\s|du\s|des\s|d['’]|la\s|l['’]){{0,2}}{NAMEWORD},?\s+(?:n[°o]\s?)?\d+(?![\w.,]\d)",
     re.I,
 )
-#: Fixed list of given names, folded; a parameter of Finder.
+#: Common given names, folded; a parameter of Finder.
 GIVEN_NAMES = frozenset(
-    """ahmet anna ali aslı ayşe barış burak can cem claire daniel deniz derya elif emine emre esra fatma gülsüm hakan hasan hatice
-    hélène hüseyin ibrahim ipek ismail julia kemal margaret mehmet meryem merve murat mustafa nazlı oliver onur osman peter selin
-    serkan sibel sophie süleyman şerife thomas tolga umut volkan yusuf zehra zeynep çağrı ömer özlem michael maria john mary paul
-    james david laura sarah marie pierre jean louis lucas emma hans klaus stefan sabine monika petra karl heinrich martin andreas
-    robert william charles george henry alice jane elizabeth catherine nicolas philippe""".split()
+    """ahmet ali alp arda aslı ayşe ayhan aylin barış berk berna burak burcu bülent can canan cem cemal ceren çağla çağrı defne deniz derya dilek ebru ece
+    elif emine emre engin ercan erdem eren erkan esra fatma fatih ferhat filiz gamze gizem gökhan gül gülsüm hakan hande hasan hatice hüseyin ibrahim ipek ismail kemal
+    kerem koray leyla mehmet melek melis meltem merve meryem metin murat mustafa nazlı nil nur nuray okan onur orhan osman ozan ömer özge özlem pelin pınar
+    ramazan recep salih seda selim selin sema serkan sevgi sibel sinan süleyman şerife şule tolga tuba tuğçe ufuk umut uğur ümit volkan yasemin yasin yusuf zehra zeynep
+    adam alice andrew anna anne charles christopher claire daniel david edward elizabeth emily emma george hannah henry jack james jane john julia kate laura margaret mary maria michael
+    oliver paul peter philip robert sarah simon sophie thomas william andreas hans heinrich jürgen karl klaus martin monika petra sabine stefan wolfgang
+    antoine catherine françois hélène jacques jean louis lucas marie nicolas philippe pierre wojciech""".split()
 )
-#: Endings of surnames; fixed values.
-SURNAME_ENDINGS = ("oğlu", "soy", "gil", "türk", "tepebel", "göletli", "surkan", "ovalıer", "çınarbaş", "yaylacık", "kavak", "baş", "kaya", "kan", "demir", "taş", "alp", "han", "lı", "li", "lu", "lü", "cı", "ci", "er", "mann", "berg", "son", "stein", "ski")
+#: Titles and marks after which two words in capitals or title case are a name.
+TITLE = re.compile(r"(?:\b(?:sayın|bay|bayan|dr|prof|doç|av|op|mr|mrs|ms|miss|sir|herrn?|frau|monsieur|madame|mme|mlle)\b\.?|\b(?:imza|i̇mza|signed|gezeichnet|signé)\s*:)[ \xa0]{1,2}$", re.I)
+#: Forms of surnames: endings of common families of names, and Turkish names made of two words. They decide only where a given name is a mere initial, comes last or is written in small letters.
+SURNAME_ENDINGS = ("oğlu", "soy", "gil", "türk", "baş", "kaya", "kan", "demir", "taş", "alp", "han", "lı", "li", "lu", "lü", "cı", "ci", "er", "mann", "berg", "son", "stein", "ski", "wicz", "sen", "eau", "ez")
 COMPOUND = re.compile(r"(?:gün|koz|bey|doğru|çam|yeşil|akça|kara|sarı|boz|taş|öz|demir|er|kıran|ulu|ak|gök|kızıl)\w{3,}(?:oğlu|soy|gil|bel|li|lı|kan|er|baş|cık|cik)$")
+#: Words that follow a given name without being a surname: parts of sentences and possessive forms.
+POSSESSIVE = re.compile(r"(?:s[ıi]|[uüoö]s[uü]|l[ae]r[ıi]|n[ıiuü]n)$")
+NO_SURNAME = frozenset("the and of in on at is was has had said says with from ve ile için bey hanım hoca hocam usta efendi abi abla teyze amca und der die das den im ist war hat sagte et le la les de du dit est avait a".split())
 NOT_A_PERSON = frozenset("hatun ilkokulu ortaokulu lisesi okulu üniversitesi caddesi caddesı sokağı sokak mahallesi bulvarı bulvar meydanı parkı hastanesi camii camisi vakfı derneği köprüsü stadı müzesi kütüphanesi apartmanı sitesi barajı street straße road school university hospital".split())
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
+DIGITS = re.compile(r"\d")
+LETTERS = re.compile(r"[^\W\d_]+")
+INITIAL = re.compile(r"(?<!\w)[A-ZÇĞİÖŞÜ]\.[ \xa0]")
+TITLE_WORD = re.compile(TITLE.pattern[: -len(r"[ \xa0]{1,2}$")], re.I)
+FIELD_END = re.compile(r"[;|\t/–:•*-][ \xa0]*$|\b(?:sayın|imza|by|bölümü|kişi|olarak)[ \xa0:]+$", re.I)
+FIELD_START = re.compile(r"[ \xa0]*(?:$|[;|\t/–:,.()]|- )")
 JOIN = re.compile(r"[ \xa0]{1,2}$")
 COMMA = re.compile(r" ?,[ \xa0]{0,2}$")
 
@@ -103,13 +145,13 @@ def iban_rest(s: str) -> int:
 
 
 class Finder:
-    def __init__(self, given: frozenset[str] = GIVEN_NAMES):
-        self.given = given
+    def __init__(self, given: frozenset[str] = GIVEN_NAMES, dates: bool = False):
+        self.given, self.dates = given, dates
 
     def line(self, line: str) -> list[tuple[int, int, str]]:
         """(start, end, type) of the findings of a line, in order and apart."""
         found: list[tuple[int, int, str]] = []
-        has_digits = sum(ch.isdigit() for ch in line)
+        has_digits = len(DIGITS.findall(line))
 
         def add(a: int, b: int, kind: str) -> None:
             if all(b <= x or a >= y for x, y, _ in found):
@@ -119,13 +161,10 @@ class Finder:
             for m in EMAIL.finditer(line):
                 add(*m.span(), "email")
         if has_digits >= 10:
-            for m in TR_IBAN.finditer(line):
-                if iban_rest(re.sub(r"[ -]", "", m[0]).upper()) == 1:
-                    add(*m.span(), "iban")
             for m in IBAN.finditer(line):
-                whole = re.sub(r"[ -]", "", m[0]).upper()
-                if len(whole) == IBAN_LENGTHS.get(whole[:2], 0) and iban_rest(whole) == 1:
-                    add(*m.span(), "iban")
+                end = iban_end(line, m.start(), IBAN_LENGTHS.get(m[1].upper(), 0))
+                if end and iban_rest(re.sub(r"[ -]", "", line[m.start() : end]).upper()) == 1:
+                    add(m.start(), end, "iban")
             for m in CARD.finditer(line):
                 if luhn(digits(m[0])):
                     add(*m.span(), "payment_card")
@@ -135,7 +174,14 @@ class Finder:
                     add(*m.span(), "id_number")
             for m in PHONE.finditer(line):
                 add(*m.span(), "phone")
-        if has_digits:
+            for m in OTHER_PHONE.finditer(line):
+                if 9 <= len(digits(m[0]).removeprefix("00")) <= 15:
+                    add(*m.span(), "phone")
+        if self.dates and has_digits >= 6:
+            for m in BIRTH.finditer(line):
+                if day_of(m[1]) is not None:
+                    add(*m.span(1), "birth_date")
+        if has_digits and STREET.search(line):
             for m in ADDRESS.finditer(line):
                 add(*m.span(), "address")
         for a, b in self.names(line):
@@ -150,42 +196,65 @@ class Finder:
         return len(t) == 2 and t[1] == "." and t[0].isupper()
 
     @staticmethod
-    def _surname(t: str) -> bool:
+    def _plain(t: str) -> bool:
+        """A word that no person is called by."""
         f = fold(t)
-        return len(f) >= 5 and not t.endswith(".") and f not in NOT_A_PERSON and (COMPOUND.match(f) is not None or f.endswith(SURNAME_ENDINGS))
+        return len(f) < 2 or t.endswith(".") or f in NOT_A_PERSON or f in NO_SURNAME
+
+    def _surname(self, t: str, given: str, known: bool) -> bool:
+        """Whether t can be the surname after a given name (known) or a mere initial."""
+        f = fold(t).partition("'")[0].partition("’")[0]
+        if self._plain(t):
+            return False
+        if COMPOUND.match(f):
+            return t[:1].isupper() or given[:1].islower()
+        formed = len(f) >= 5 and f.endswith(SURNAME_ENDINGS)
+        return t[:1].isupper() and (formed or (known and given[:1].isupper() and POSSESSIVE.search(f) is None))
 
     def names(self, line: str) -> Iterator[tuple[int, int]]:
+        if not self._may_name(line):
+            return
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(line)]
         tokens = [(a, b - 1, t[:-1]) if t.endswith(".") and len(t) > 2 else (a, b, t) for a, b, t in tokens]
         n, i = len(tokens), 0
+        near = lambda j: j < n and JOIN.match(line[tokens[j - 1][1] : tokens[j][0]]) is not None
         while i < n:
             a, b, t = tokens[i]
             j = i
-            while j < n and (j == i or JOIN.match(line[tokens[j - 1][1] : tokens[j][0]])) and (self._given(tokens[j][2]) or self._initial(tokens[j][2])):
+            while j < n and (j == i or near(j)) and (self._given(tokens[j][2]) or self._initial(tokens[j][2])):
                 j += 1
-            near = j < n and j > i and JOIN.match(line[tokens[j - 1][1] : tokens[j][0]])
-            if near and self._surname(tokens[j][2]) and self._cased(tokens[j][2], tokens[i][2]) and not self._place(line, tokens, j):
+            known = any(self._given(x[2]) for x in tokens[i:j])
+            if j > i and near(j) and self._surname(tokens[j][2], t, known) and not self._place(line, tokens, j):
                 yield a, tokens[j][1]
                 i = j + 1
                 continue
-            compound = COMPOUND.match(fold(t)) is not None and fold(t) not in NOT_A_PERSON
-            if compound and i + 1 < n:  # surname first
-                gap = line[b : tokens[i + 1][0]]
-                nxt = tokens[i + 1][2]
-                if (COMMA.match(gap) or JOIN.match(gap)) and (self._given(nxt) or self._initial(nxt)) and not self._place(line, tokens, i + 1):
+            titled = t[:1].isupper() and not self._given(t) and near(i + 1) and TITLE.search(line, max(0, a - 24), a)
+            if titled and tokens[i + 1][2][:1].isupper() and (self._initial(t) or not self._plain(t)) and not self._plain(tokens[i + 1][2]) and not self._place(line, tokens, i + 1):
+                yield a, tokens[i + 1][1]
+                i += 2
+                continue
+            if i + 1 < n and not self._plain(t) and (self._given(tokens[i + 1][2]) or self._initial(tokens[i + 1][2])):  # surname first
+                gap, compound = line[b : tokens[i + 1][0]], COMPOUND.match(fold(t)) is not None
+                listed = COMMA.match(gap) and t[:1].isupper() and tokens[i + 1][2][:1].isupper() and not self._given(t) and (not line[:a].strip() or FIELD_END.search(line, 0, a))
+                if ((compound and (COMMA.match(gap) or JOIN.match(gap))) or listed) and not self._place(line, tokens, i + 1):
                     k = i + 1
-                    while k + 1 < n and JOIN.match(line[tokens[k][1] : tokens[k + 1][0]]) and (self._given(tokens[k + 1][2]) or self._initial(tokens[k + 1][2])):
+                    while near(k + 1) and (self._given(tokens[k + 1][2]) or self._initial(tokens[k + 1][2])):
                         k += 1
                     # "Surname Given Surname" belongs to the given name's own surname
-                    if not (JOIN.match(gap) and k + 1 < n and JOIN.match(line[tokens[k][1] : tokens[k + 1][0]]) and COMPOUND.match(fold(tokens[k + 1][2]))):
+                    own = JOIN.match(gap) and near(k + 1) and COMPOUND.match(fold(tokens[k + 1][2]))
+                    if not own and (compound or FIELD_START.match(line, tokens[k][1])):
                         yield a, tokens[k][1]
                         i = k + 1
                         continue
             i += 1
 
-    @staticmethod
-    def _cased(surname: str, given: str) -> bool:
-        return surname[:1].isupper() or (given[:1].islower() and COMPOUND.match(fold(surname)) is not None)
+    def _may_name(self, line: str) -> bool:
+        if INITIAL.search(line) or TITLE_WORD.search(line):
+            return True
+        words = LETTERS.findall(line.replace("İ", "i").replace("I", "ı").lower())
+        if not self.given.isdisjoint(words):
+            return True
+        return "I" in line and not self.given.isdisjoint(LETTERS.findall(line.replace("İ", "i").lower()))
 
     @staticmethod
     def _place(line: str, tokens: list[tuple[int, int, str]], last: int) -> bool:
@@ -195,10 +264,37 @@ class Finder:
         return fold(tokens[last + 1][2]) in NOT_A_PERSON
 
 
+DAY_ONE, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # 1900 to 2099
+
+
+def day_of(raw: str) -> int | None:
+    """Number of a calendar day from 1900 to 2099; None for other dates."""
+    m = DATE.fullmatch(raw)
+    if not m:
+        return None
+    year, month, day = (m[1], m[2], m[3]) if m[1] else (m[7], m[6], m[4])
+    try:
+        n = datetime.date(int(year), int(month), int(day)).toordinal() - DAY_ONE
+    except ValueError:
+        return None
+    return n if 0 <= n < DAYS else None
+
+
+def iban_end(line: str, start: int, length: int) -> int:
+    """Where the IBAN of so many letters and digits ends; 0 if the text goes on or ends before."""
+    at, have = start, 0
+    while have < length:
+        m = IBAN_PART.match(line, at)
+        if not m:
+            return 0
+        at, have = m.end(), have + 1
+    return at if length and (at == len(line) or not line[at].isalnum()) else 0
+
+
 class Pseudonyms:
     """Keyed permutations within formats; the same value always maps alike."""
 
-    def __init__(self, key: bytes = KEY, rounds: int = 8):
+    def __init__(self, key: bytes, rounds: int = 8):
         self.key, self.rounds = key, rounds
 
     def _round(self, tweak: str, r: int, half: str, modulus: int) -> int:
@@ -233,6 +329,8 @@ class Pseudonyms:
 
     def of(self, kind: str, raw: str) -> str:
         d = digits(raw)
+        if kind == "birth_date":
+            return self._date(raw)
         if kind == "phone":
             return self._refill(raw, d[:-7] + self.permute(d[-7:], "phone"))
         if kind == "id_number":
@@ -253,6 +351,16 @@ class Pseudonyms:
         same = re.sub(r"[\W_]+", " ", fold(raw)).strip()
         return self.tag(kind, same)
 
+    def _date(self, raw: str) -> str:
+        """Another calendar day in the same form."""
+        made = self.permute(f"{day_of(raw):05d}", "date")
+        while int(made) >= DAYS:  # walk the cycle to the next calendar day
+            made = self.permute(made, "date")
+        d, m = datetime.date.fromordinal(DAY_ONE + int(made)), DATE.fullmatch(raw)
+        if m[1]:
+            return d.isoformat()
+        return f"{d.day:0{len(m[4])}d}{m[5]}{d.month:0{len(m[6])}d}{m[5]}{d.year}"
+
     def placeholder(self, kind: str, raw: str) -> str:
         return f"[{kind.upper()} {self.of(kind, raw)}]"
 
@@ -261,11 +369,12 @@ FINDINGS = "revision_id long, pii_type string, line_no long, line_start long, ps
 MASKED = "revision_id long, masked_text string, findings int"
 
 
-def findings(docs: DataFrame, id_col: str = "revision_id", text_col: str = "content_text", key: bytes = KEY, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "revision_id", text_col: str = "content_text", key: bytes | None = None, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
     """One row for each finding; values appear as pseudonyms only."""
+    key = key or secrets.token_bytes(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, names = Finder(given), Pseudonyms(key)
+        finder, names = Finder(given, dates=True), Pseudonyms(key)
         for batch in batches:
             rows = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -275,15 +384,23 @@ def findings(docs: DataFrame, id_col: str = "revision_id", text_col: str = "cont
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["revision_id", "pii_type", "line_no", "line_start", "pseudonym"])
 
-    rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return spread(rows).mapInArrow(run, FINDINGS).distinct()
+    return spread(_texts(docs, id_col, text_col)).mapInArrow(run, FINDINGS).distinct()
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("revision_id"), docs[text_col].cast("string").alias("content_text"))
+
 
+def masked(docs: DataFrame, id_col: str = "revision_id", text_col: str = "content_text", key: bytes | None = None, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+    """Each text with typed placeholders in place of its findings.
 
-def masked(docs: DataFrame, id_col: str = "revision_id", text_col: str = "content_text", key: bytes = KEY, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
-    """Each text with typed placeholders in place of its findings."""
+    Redelivered rows are told by their id and text before any text is masked;
+    rows without id all stay.
+    """
+    key = key or secrets.token_bytes(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, names = Finder(given), Pseudonyms(key)
+        finder, names = Finder(given, dates=True), Pseudonyms(key)
         for batch in batches:
             out, counts = [], []
             for text in batch.column(1).to_pylist():
@@ -298,11 +415,21 @@ def masked(docs: DataFrame, id_col: str = "revision_id", text_col: str = "conten
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["revision_id", "masked_text", "findings"])
 
-    rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
     apart = F.when(F.col("revision_id").isNull(), F.monotonically_increasing_id())
-    return spread(rows).mapInArrow(run, MASKED).withColumn("_row", apart).dropDuplicates(["revision_id", "_row"]).drop("_row")
+    rows = _texts(docs, id_col, text_col).withColumn("_row", apart).withColumn("_same", F.xxhash64("content_text"))
+    once = rows.dropDuplicates(["revision_id", "_row", "_same", "content_text"]).select("revision_id", "content_text")
+    return spread(once).mapInArrow(run, MASKED)
 
 
-def found_lines(docs: DataFrame, **columns: str) -> DataFrame:
-    """(revision_id, pii_type, line_no), once each."""
-    return findings(docs, **columns).select("revision_id", "pii_type", "line_no").where("revision_id is not null").distinct()
+def found_lines(docs: DataFrame, id_col: str = "revision_id", text_col: str = "content_text", given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+    """(revision_id, pii_type, line_no) of the seven types, once each; no pseudonym is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(given)
+        for batch in batches:
+            rows = {(rid, kind, no) for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for no, line in enumerate((text or "").split("\n"), 1) for _, _, kind in finder.line(line)}
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["revision_id", "pii_type", "line_no"])
+
+    rows = _texts(docs, id_col, text_col).where("revision_id is not null and content_text is not null")
+    return spread(rows).mapInArrow(run, "revision_id long, pii_type string, line_no long").distinct()

@@ -47,12 +47,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_lines(table(spark, sf_dir, "document_revisions"))
 
 
+def _key(spark: SparkSession) -> bytes | None:
+    """The pseudonyms' key from the session, where one is kept; else one is drawn for each run."""
+    kept = spark.conf.get("spark.sievewright.pseudonym.key", "")
+    return kept.encode() or None
+
+
 def p5_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.findings(table(spark, sf_dir, "document_revisions"))
+    return pii.findings(table(spark, sf_dir, "document_revisions"), key=_key(spark))
 
 
 def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.masked(table(spark, sf_dir, "document_revisions"))
+    return pii.masked(table(spark, sf_dir, "document_revisions"), key=_key(spark))
 
 
 def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

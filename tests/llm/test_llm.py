@@ -223,6 +223,20 @@ def test_unseen_word_takes_no_counts_of_another(spark):
         ("Karabellioğlu, Barış\tahmet.kara@ornek.example\t1999", ["person_name", "email"]),
         ("not: kozpınarsoy yusuf aradı", ["person_name"]),
         ("Ayşe Hatun İlkokulu 1929 yılında açıldı", []),
+        ("Dün Mehmet Yılmaz aradı", ["person_name"]),
+        ("a letter to John Smith arrived", ["person_name"]),
+        ("Pierre Dupont est venu avec Anna Schmidt", ["person_name", "person_name"]),
+        ("Wojciech Nowak ve Tuğçe Aydın", ["person_name", "person_name"]),
+        ("Sayın Bronisław Kowalczyk geldi", ["person_name"]),
+        ("Özdemir, Ayşe", ["person_name"]),
+        ("Barış Antlaşması imzalandı", []),
+        ("Emre Caddesi ve Deniz Parkı", []),
+        ("FI21 1234 5600 0007 85 is the account", ["iban"]),
+        ("NO93 8601 1117 947", ["iban"]),
+        ("FI21 1234 5600 0007 86", []),
+        ("Tel. +49 30 1234567 oder (212) 555-0123", ["phone", "phone"]),
+        ("Appelez le 01 23 45 67 89", ["phone"]),
+        ("d7 3a 01 23 45 67 89 f6", []),
         ("", []),
     ],
 )
@@ -237,6 +251,26 @@ def test_feistel_round_trip(value):
     assert p.restore(p.permute(value, "t"), "t") == value and len(p.permute(value, "t")) == len(value)
 
 
+def test_dates_of_birth_move_within_their_format(spark):
+    p = pii.Pseudonyms(b"key")
+    made = p.of("birth_date", "07.03.1987")
+    assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", made) and made != "07.03.1987" and pii.day_of(made) is not None
+    assert pii.day_of(p.of("birth_date", "1987-03-07")) == pii.day_of(made)
+    assert len({p.of("birth_date", f"{d}/1/1990") for d in range(1, 32)}) == 31
+    d = spark.createDataFrame([(1, "Doğum tarihi: 07.03.1987\nborn on 31.02.1990\ntoplantı 07.03.1987")], "revision_id long, content_text string")
+    assert rows(pii.found_lines(d)) == []
+    assert rows(pii.findings(d, key=b"key").select("pii_type", "line_no", "pseudonym")) == [("birth_date", 1, made)]
+    assert rows(pii.masked(d, key=b"key"))[0][1] == f"Doğum tarihi: [BIRTH_DATE {made}]\nborn on 31.02.1990\ntoplantı 07.03.1987"
+
+
+def test_no_key_is_built_in(spark):
+    d = spark.createDataFrame([(1, "Kart 4111-1111-1111-1111 ile")], "revision_id long, content_text string")
+    assert rows(pii.masked(d, key=b"a")) == rows(pii.masked(d, key=b"a"))
+    assert rows(pii.masked(d)) != rows(pii.masked(d))
+    with pytest.raises(TypeError):
+        pii.Pseudonyms()
+
+
 def test_pseudonyms_keep_formats():
     p = pii.Pseudonyms(b"key")
     card = p.of("payment_card", "4111-1111-1111-1111")
@@ -281,8 +315,8 @@ def test_turkish_addresses(spark, line, address):
     assert [line[a:b] for a, b, k in pii.Finder().line(line) if k == "email"] == [address] * (address is not None)
     d = spark.createDataFrame([(1, "Son\n" + line)], "revision_id long, content_text string")
     assert rows(pii.found_lines(d)) == [(1, "email", 2)] * (address is not None)
-    text = pii.masked(d).collect()[0]["masked_text"]
-    assert text == "Son\n" + (line if address is None else line.replace(address, pii.Pseudonyms().placeholder("email", address)))
+    text = pii.masked(d, key=b"key").collect()[0]["masked_text"]
+    assert text == "Son\n" + (line if address is None else line.replace(address, pii.Pseudonyms(b"key").placeholder("email", address)))
 
 
 # 4, 6, 7
