@@ -43,7 +43,6 @@ PRIORITY = (*TYPES[:5], "birth_date", *TYPES[5:])
 ET = r"\s?[\[({]\s?et\s?[\])}]\s?(?=[\w-]+(?:\.[a-z]|\s?[\[({]\s?(?:nokta|dot)\b|\s+(?:nokta|dot)\s))|\s+et\s+(?!(?:bir|her|bu|şu|o|son|ilk|tek|iki|üç)\s)(?=[\w-]+(?:\s+nokta\s|\s?[\[({]\s?nokta\b))"
 AT = rf"(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?|\s+at\s+(?=[\w-]+\s+dot\s)|{ET})"
 DOT = r"(?:\s?\.\s?|\s?[\[({]\s?(?:dot|nokta)\s?[\])}]\s?|\s+(?:dot|nokta)\s+)"
-AT_WORD = re.compile(r"\bat\b|[\[({]\s?et\s?[\])}]", re.I)
 EMAIL = re.compile(rf"(?<![\w.+-])[a-z0-9](?:[\w.+-]*\w)?{AT}[a-z0-9][\w-]*(?:(?:\.|{DOT})[a-z][\w-]+)+", re.I)
 IBAN = re.compile(r"(?<!\w)([A-Za-z]{2})(\d{2})(?=[ -]?[A-Za-z0-9])")
 IBAN_PART = re.compile(r"[ -]?[A-Za-z0-9]")
@@ -73,7 +72,8 @@ OTHER_PHONE = re.compile(
 )
 BIRTH = re.compile(r"(?:doğum(?:\s+tarihi)?|doğumlu|d\.?\s?tarihi|born(?:\s+on)?|date of birth|birth\s?date|dob|geb(?:oren|\.)(?:\s+am)?|geburtsdatum|née?(?:\s+le)?|date de naissance)\s*[:=(]?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)", re.I)
 DATE = re.compile(r"(\d{4})-(\d{2})-(\d{2})|(\d{1,2})([./-])(\d{1,2})\5(\d{4})")
-STREET = re.compile(r"cad|sok|bulvar|blv|yolu|çıkmaz|\b(?:sk|cd)\b|stra(?:ß|ss)e|str\.|gasse|allee|platz|weg|street|road|avenue|lane|drive|square|rue|boulevard|quai|place|impasse|chemin", re.I)
+#: Parts of street words in small letters; a line without any of them is not searched for addresses.
+STREET = ("cad", "sok", "bulvar", "blv", "yolu", "çıkmaz", "sk", "cd", "straße", "strasse", "str.", "gasse", "allee", "platz", "weg", "street", "road", "avenue", "lane", "drive", "square", "rue", "boulevard", "quai", "place", "impasse", "chemin")
 NAMEWORD = r"[^\W\d_][\w'’-]*"
 ADDRESS = re.compile(
     rf"(?:{NAMEWORD}\s+)(?:caddesi|caddesı|cadde|cad|cd|sokağı|sokagi|sokak|sok|sk|bulvarı|bulvar|blv|yolu|çıkmazı)\b\.?\s*,?\s*(?:(?:no|numara|nr)\b\s*[.:]?\s*)?\d+(?:\s?/\s?\d+)?"
@@ -106,7 +106,7 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 DIGITS = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]+")
 INITIAL = re.compile(r"(?<!\w)[A-ZÇĞİÖŞÜ]\.[ \xa0]")
-TITLE_WORD = re.compile(TITLE.pattern[: -len(r"[ \xa0]{1,2}$")], re.I)
+TITLE_WORDS = frozenset("sayın bay bayan dr prof doç av op mr mrs ms miss sir herr herrn frau monsieur madame mme mlle imza signed gezeichnet signé".split())
 FIELD_END = re.compile(r"[;|\t/–:•*-][ \xa0]*$|\b(?:sayın|imza|by|bölümü|kişi|olarak)[ \xa0:]+$", re.I)
 FIELD_START = re.compile(r"[ \xa0]*(?:$|[;|\t/–:,.()]|- )")
 JOIN = re.compile(r"[ \xa0]{1,2}$")
@@ -152,12 +152,14 @@ class Finder:
         """(start, end, type) of the findings of a line, in order and apart."""
         found: list[tuple[int, int, str]] = []
         has_digits = len(DIGITS.findall(line))
+        low = line.replace("İ", "i").lower()  # regular expressions run only where a plain search finds their words
+        words = LETTERS.findall(low)
 
         def add(a: int, b: int, kind: str) -> None:
             if all(b <= x or a >= y for x, y, _ in found):
                 found.append((a, b, kind))
 
-        if "@" in line or AT_WORD.search(line) or ("nokta" in line.lower() and re.search(r"\bet\b", line, re.I)):
+        if "@" in line or "at" in words or "et" in words:
             for m in EMAIL.finditer(line):
                 add(*m.span(), "email")
         if has_digits >= 10:
@@ -181,11 +183,12 @@ class Finder:
             for m in BIRTH.finditer(line):
                 if day_of(m[1]) is not None:
                     add(*m.span(1), "birth_date")
-        if has_digits and STREET.search(line):
+        if has_digits and any(part in low for part in STREET):
             for m in ADDRESS.finditer(line):
                 add(*m.span(), "address")
-        for a, b in self.names(line):
-            add(a, b, "person_name")
+        if self._may_name(line, words):
+            for a, b in self.names(line):
+                add(a, b, "person_name")
         return sorted(found)
 
     def _given(self, t: str) -> bool:
@@ -212,8 +215,6 @@ class Finder:
         return t[:1].isupper() and (formed or (known and given[:1].isupper() and POSSESSIVE.search(f) is None))
 
     def names(self, line: str) -> Iterator[tuple[int, int]]:
-        if not self._may_name(line):
-            return
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(line)]
         tokens = [(a, b - 1, t[:-1]) if t.endswith(".") and len(t) > 2 else (a, b, t) for a, b, t in tokens]
         n, i = len(tokens), 0
@@ -248,13 +249,11 @@ class Finder:
                         continue
             i += 1
 
-    def _may_name(self, line: str) -> bool:
-        if INITIAL.search(line) or TITLE_WORD.search(line):
+    def _may_name(self, line: str, words: list[str]) -> bool:
+        """words are the line's in small letters, I as i."""
+        if not self.given.isdisjoint(words) or not TITLE_WORDS.isdisjoint(words) or INITIAL.search(line):
             return True
-        words = LETTERS.findall(line.replace("İ", "i").replace("I", "ı").lower())
-        if not self.given.isdisjoint(words):
-            return True
-        return "I" in line and not self.given.isdisjoint(LETTERS.findall(line.replace("İ", "i").lower()))
+        return "I" in line and not self.given.isdisjoint(LETTERS.findall(line.replace("İ", "i").replace("I", "ı").lower()))
 
     @staticmethod
     def _place(line: str, tokens: list[tuple[int, int, str]], last: int) -> bool:
