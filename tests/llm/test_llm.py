@@ -141,8 +141,6 @@ def test_statistics_rows(spark):
 
 
 def tiny_models():
-    import numpy as np
-
     counts = np.zeros((4, ngram.SIZE))
     for i, text in enumerate([PROSE, "What the table protects is not the word itself and every review needs an early fragment", "Der Speicher misst den Fluss und die Grenze, wenn das Ergebnis nicht möglich ist", "La règle dite de la forêt mesure le critère et la qualité du registre"]):
         counts[i] = np.bincount(ngram.trigrams(text), minlength=ngram.SIZE)
@@ -398,10 +396,11 @@ def test_leak_cases(spark):
         7: None,
         8: "",
         9: " ".join(item(17, 3000)) + " " + "​ ".join(a[10:35]),
+        10: noise(18, 90).join(" " + " ".join(a[k : k + 10]) + " " for k in (30, 0, 20, 10)),
     }
     docs = spark.createDataFrame([(k, t, 9) for k, t in texts.items()] + [(3, upper, 9), (None, upper, 9)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(100, " ".join(a)), (200, " ".join(b)), (300, None), (200, " ".join(b)), (None, "x")], "item_id long, text string")
-    assert rows(leak.leaked(docs, items)) == [(1, 100), (2, 100), (3, 200), (4, 100), (9, 100)]
+    assert rows(leak.leaked(docs, items)) == [(1, 100), (2, 100), (3, 200), (4, 100), (9, 100), (10, 100)]
     assert rows(leak.leaked(docs, items.limit(0))) == []
 
 
@@ -412,24 +411,70 @@ def test_short_items_leak_whole(spark):
     assert rows(leak.leaked(docs, spark.createDataFrame(items, "item_id long, text string"))) == [(1, 10), (1, 11), (4, 20), (4, 60), (5, 30), (6, 60), (8, 50)]
 
 
-def test_tiling_never_overlaps():
-    import numpy as np
+def brute_tiling(x, y, least):
+    """Longest match first, again and again."""
+    free_x, free_y, tiles = [True] * len(x), [True] * len(y), []
+    while True:
+        best = 0
+        for i in range(len(x)):
+            for j in range(len(y)):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n] and free_x[i + n] and free_y[j + n]:
+                    n += 1
+                best = max(best, n)
+        if best < least:
+            return tiles
+        i, j = next((i, j) for i in range(len(x)) for j in range(len(y)) if all(i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k] and free_x[i + k] and free_y[j + k] for k in range(best)))
+        tiles.append((i, j, best))
+        for k in range(best):
+            free_x[i + k] = free_y[j + k] = False
 
+
+def test_tiling_never_overlaps():
     rng = random.Random(4)
-    for _ in range(50):
-        x, y = np.array([rng.randint(0, 3) for _ in range(30)]), np.array([rng.randint(0, 3) for _ in range(40)])
-        hits = [(i, j) for i in range(27) for j in range(37) if (x[i : i + 4] == y[j : j + 4]).all()]
-        if hits:
-            tiles = leak.tiling(np.array([h[0] for h in hits]), np.array([h[1] for h in hits]), x, y)
-            assert all((x[i : i + n] == y[j : j + n]).all() and n >= 4 for i, j, n in tiles)
-            for side in (0, 1):
-                used = Counter(t[side] + k for t in tiles for k in range(t[2]))
-                assert max(used.values()) == 1
+    for round_ in range(60):
+        x, y = np.array([rng.randint(0, 3 + round_) for _ in range(30)], np.uint64), np.array([rng.randint(0, 3 + round_) for _ in range(40)], np.uint64)
+        tiles = leak.tiling(leak.Searched(x), y)
+        assert all((x[i : i + n] == y[j : j + n]).all() and n >= 2 for i, j, n in tiles)
+        for side in (0, 1):
+            used = Counter(t[side] + k for t in tiles for k in range(t[2]))
+            assert max(used.values(), default=1) == 1
+        if round_ > 25:  # ties are rare
+            assert sorted(n for _, _, n in tiles) == sorted(n for _, _, n in brute_tiling(x.tolist(), y.tolist(), 2))
 
 
-def test_passage_against_plain_alignment():
-    import numpy as np
+def plain_words(text):
+    folded = unicodedata.normalize("NFKD", text.replace("ı", "i").replace("İ", "i")).casefold()
+    folded = re.sub("[\u0300-\u036f\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u180e\u034f]+", "", folded)
+    folded = re.sub(r"(?<=[^\W_])['’`‘‐-](?=[^\W_])", "", folded)
+    return re.findall(r"[^\W_]+", re.sub(r"(?<![^\W_])([ldcjmnst]|qu)\s+(?=[^\W_])", r"\1", folded))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abdlquıİISßéê ̈­​'-\n._1½ﬁ", max_size=30), max_size=4))
+def test_words_against_plain_ones(texts):
+    h, bounds = leak.worded(texts)
+    known = {}
+    for i, text in enumerate(texts):
+        words = plain_words(text)
+        own = h[bounds[i] : bounds[i + 1]].tolist()
+        assert len(own) == len(words)
+        for w, x in zip(words, own, strict=True):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_items_in_several_blocks_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(leak, "PASS_BLOCKS", 2)
+    assert [len(b) for b in leak.blocks(((i, "x" * 10) for i in range(7)), 25)] == [2, 2, 2, 1]
+    whole = leak.blocks
+    monkeypatch.setattr(leak, "blocks", lambda rows: whole(rows, 300))
+    items = [(k, " ".join(item(k))) for k in range(5)]
+    docs = spark.createDataFrame([(k, "x " + t) for k, t in items] + [(9, "none")], "doc_id long, text string")
+    assert rows(leak.leaked(docs, spark.createDataFrame(items, "item_id long, text string"))) == [(k, k) for k in range(5)]
 
+
+def test_passage_against_plain_alignment():
     rng = random.Random(6)
     for _ in range(60):
         x, y = [rng.randint(0, 4) for _ in range(12)], [rng.randint(0, 4) for _ in range(15)]
@@ -445,8 +490,6 @@ def test_passage_against_plain_alignment():
 
 
 def repairer():
-    import numpy as np
-
     counts = np.bincount(ngram.trigrams((PROSE + " çalışmasıyla şehirdeki ağaçların ısınması yılında arşivindeki değerlendirmiştir ") * 5), minlength=ngram.SIZE)
     return mojibake.Repairer(ngram.log_next(counts))
 
