@@ -1,12 +1,16 @@
 """Problem 3: defective question and answer pairs.
 
-empty, copied and refusal come from the texts' own form. wrong_language
-compares the language posteriors of question and answer under a character
-trigram naive Bayes fitted on all questions with their (partly wrong) labels.
-truncated compares the likelihood that a text ends where the answer does,
-under a back-off n-gram model of what precedes sentence ends, counted over all
-answers by 64-bit keys. The counts stay distributed: they are joined to the
-last contexts of the answers whose form leaves the end open.
+empty and copied come from the texts' own form. refusal compares the
+likelihood of each clause under models of declining and of courteous clauses,
+counted from exemplars that are put together of parts in four languages, with
+its likelihood under all answers; an answer that declines and says nothing
+else refuses. wrong_language compares the language posteriors of question and
+answer under a character trigram naive Bayes fitted on all questions with
+their (partly wrong) labels. truncated compares the likelihood that a text
+ends where the answer does, under a back-off n-gram model of what precedes
+sentence ends, counted over all answers by 64-bit keys. The counts stay
+distributed: they are joined to the last contexts of the answers whose form
+leaves the end open.
 
 A pair has at most one defect, the first of DEFECTS that holds. Defined
 results: a null question never makes copied or wrong_language; texts without
@@ -17,40 +21,85 @@ id gives no row in the findings.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import ngram
+from sievewright.llm.quality import FUNCTION_WORDS
 from sievewright.tables import spread, written
 
 DEFECTS = ("empty", "copied", "refusal", "wrong_language", "truncated")
 
-FILLERS = frozenset("none null nil nan na n/a yok boş bos cevap cevabınız answer antwort réponse reponse response output todo tbd fixme xxx ... lorem ipsum undefined empty leer vide keine aucune".split())
+#: Words that alone, or with others of them, say nothing; PARTS only along with one of these.
+FILLERS = frozenset("none null nil nan na n/a yok boş bos cevap cevabınız answer antwort réponse reponse response output todo tbd fixme xxx ... lorem ipsum undefined empty leer vide keine aucune bilmiyorum".split())
+PARTS = frozenset("no not the there is keine kein bir henüz yet available verilmedi belirtilmedi pas de provided given yoktur".split())
 LABEL = re.compile(r"^\W*(?:soru|cevap|yanıt|question|answer|frage|antwort|réponse|q|a|s|c|prompt|response|user|assistant|kullanıcı)\s*[:：]\s*", re.I)
 SENTENCES = re.compile(r"(?<=[.!?…])[\"”’»“)]*\s+|\n+")
 WORD = re.compile(r"[^\W_]+")
 
-#: Phrases by which an answer declines; fixed values.
-REFUSAL = re.compile(
-    r"yardımcı olamam|yardımcı olamıyorum|cevaplamayı tercih etmi|yanıtlayam|cevaplayam|yanıt verem|cevap verem|yanıt vermeyeceğ|cevap vermeyeceğ|cevap vermem uygun|yanıt vermem uygun"
-    r"|yerine getirem|bunu yapamam|hakkında konuşamam|bilgi vermem doğru|bilgi verem|üretmem mümkün değil|izin verilmiyor|reddetmek zorunda|bu talebi redded"
-    r"|can'?t help|cannot help|cannot assist|can'?t assist|unable to (?:answer|help|assist|provide)|not able to (?:provide|help|answer|assist|give)|won'?t be able to|must decline|have to decline|rather not (?:talk|answer|discuss|say)"
-    r"|prevent me from|not allowed to|as an ai[^.]*(?:unable|cannot|can'?t)|cannot (?:answer|provide|discuss)|can'?t (?:answer|provide|discuss)"
-    r"|nicht helfen|nicht beantworten|nicht bearbeiten|nicht äußern|darf ich[^.]*nicht|kann ich[^.]*nicht|lehne[^.]* ab|muss ich ablehnen|keine auskunft|nicht weiterhelfen"
-    r"|ne peux pas|ne puis|ne suis pas en mesure|préfère ne pas|refuse de|dois refuser|dois décliner|m['’]est impossible|m['’]interdisent|n['’]ai pas le droit|ne m['’]est pas permis|ne me permettent pas",
-    re.I,
-)
-COURTESY = re.compile(
-    r"anlıyorum|teşekkür|danışmanızı|danışın|başka bir (?:soru|konu)|yardımcı olabilirim|thank|something else|professional|another question|anything else|understand"
-    r"|danke|verstehe|fachmann|fachperson|andere frage|etwas anderes|merci|comprends|spécialiste|professionnel|autre (?:question|sujet|chose)|sorry|üzgünüm|désolé|tut mir leid",
-    re.I,
-)
+#: Clauses that decline and courteous ones around them, put together of alternatives from left to right.
+DECLINING = {
+    "tr": (
+        (
+            "üzgünüm ama|maalesef|ne yazık ki|kusura bakmayın|bir yapay zekâ olarak|kurallarım gereği|",
+            "bu soruya|bu soruyu|bu konuda|bu talebe|bu isteğe|bu isteğinizi|böyle bir şeyi|bunu|size",
+            "yanıt veremem|cevap veremiyorum|cevap vermeyeceğim|yanıt vermek istemiyorum|yanıtlayamam|cevaplayamıyorum|yardımcı olamam|yardım edemem|bilgi veremem|bilgi vermem uygun değil|yapamam|yerine getiremem"
+            "|karşılayamam|karşılamam mümkün değil|reddediyorum|reddetmek zorundayım|yapmam söz konusu değil|anlatmayı tercih etmem|konuşamam|üretemem|yapmama izin yok",
+        ),
+    ),
+    "en": (
+        (
+            "i'm sorry but|sorry|unfortunately|as an ai model|",
+            "i cannot|i can't|i am not able to|i'm unable to|i won't|i will not|i refuse to|i must decline to|i have to decline to|i am not allowed to|i am not permitted to|i would rather not|i'd rather not|i do not want to|i don't feel comfortable to",
+            "answer that|answer this question|help with that|help you with this|assist with this request|respond|respond to this request|discuss this topic|talk about that|talk about the topic|provide that information|give information on this|do that|comment on this|share this|fulfil your request",
+        ),
+        ("i'm sorry but|unfortunately|", "this request|this question|that|this topic", "is something i cannot answer|is not something i can help with|goes against my guidelines|is not allowed|must be declined|is beyond what i may discuss"),
+        ("my guidelines|my rules|my instructions", "prevent me from|keep me from|do not allow me to|forbid me to", "answering|helping|discussing this|answer|help you|discuss this topic"),
+    ),
+    "de": (
+        (
+            "es tut mir leid|leider|entschuldigung|als ki modell|",
+            "kann ich|darf ich|möchte ich|werde ich|will ich",
+            "diese frage|dazu|dabei|diese anfrage|zu diesem thema|darauf|ihnen dabei|das",
+            "nicht beantworten|keine auskunft geben|nicht helfen|nicht bearbeiten|nichts sagen|nicht antworten|nicht äußern|nicht weiterhelfen|nicht erfüllen|nicht sprechen",
+        ),
+        ("es tut mir leid|leider|", "diese anfrage|diese frage|das|die antwort", "muss ich ablehnen|lehne ich ab|ist mir nicht erlaubt|ist mir nicht gestattet|ist mir nicht möglich|ist mir untersagt|verstößt gegen meine regeln"),
+    ),
+    "fr": (
+        (
+            "désolé|je suis désolé mais|malheureusement|en tant que modèle|",
+            "je ne peux pas|je ne suis pas en mesure de|je refuse de|je ne souhaite pas|je préfère ne pas|je ne suis pas autorisé à|je dois refuser de|il m'est impossible de|il m'est interdit de|mes règles m'interdisent de",
+            "répondre à cette question|vous aider|traiter cette demande|parler de ce sujet|répondre|donner cette information|faire cela|fournir ce contenu|discuter de cela",
+        ),
+        ("désolé|malheureusement|", "je dois refuser|je refuse|je décline|je ne peux accepter", "cette demande|votre demande|cette question|"),
+    ),
+}
+COURTEOUS = {
+    "tr": (
+        ("lütfen|dilerseniz|isterseniz|", "başka bir soru sorun|başka bir konuda yardımcı olabilirim|bir uzmana danışın|bir uzmana danışmanızı öneririm|bir hekime başvurun|başka bir konu seçin"),
+        ("anlayışınız için|ilginiz için|sorunuz için|", "teşekkürler|teşekkür ederim|sağ olun"),
+    ),
+    "en": (
+        ("please|feel free to|you may|is there|", "ask another question|consult a professional|ask an expert|something else you would like to discuss|anything else i can help with|contact a specialist|choose another topic"),
+        ("thank you for|thanks for|i understand", "your understanding|asking|the question"),
+    ),
+    "de": (
+        ("bitte|gern können sie|gibt es", "stellen sie eine andere frage|wenden sie sich an eine fachperson|etwas anderes fragen|fragen sie einen fachmann|etwas anderes wobei ich helfen kann"),
+        ("danke für|vielen dank für|ich verstehe", "die frage|ihr verständnis|die anfrage"),
+    ),
+    "fr": (
+        ("veuillez|vous pouvez|n'hésitez pas à|puis je", "poser une autre question|consulter un spécialiste|demander à un professionnel|choisir un autre sujet|vous aider autrement"),
+        ("merci de|merci pour|je vous remercie de|je comprends", "votre compréhension|votre question|votre confiance"),
+    ),
+}
 ASKS_FOR_REFUSAL = re.compile(r"\bret cümle|\breddetme|\bretme örne|refusal|declin(?:e|ing) politely|absage|ablehnung|\brefus\b", re.I)
 TRANSLATION_ASKED = re.compile(r"(?:ye|ya|çe|ca|ce|cesine|ceye|caya)\s+çevir|tercüme et|translate\b[^.]*\b(?:to|into)\b|übersetze?n?\b[^.]*\b(?:ins|auf|in)\b|tradui\w*[^.]*\ben\b|in (?:english|german|french|turkish)\b|auf (?:deutsch|englisch|türkisch|französisch)\b|en (?:anglais|allemand|turc|français)\b", re.I)
 CODE = re.compile(r"```.*?```|`[^`]*`|https?://\S+|<[^>]{1,40}>", re.S)
@@ -70,138 +119,259 @@ def normal(text: str) -> list[str]:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if len(answer) > 200:
+        return not any(map(str.isalnum, answer))
     bare = "".join(ch for ch in answer if ch.isalnum() or ch == "/")
-    return not bare.strip("/") or bare.lower().replace("İ".lower(), "i") in FILLERS or bare.lower() in FILLERS
+    if not bare.strip("/") or bare.lower().replace("İ".lower(), "i") in FILLERS or bare.lower() in FILLERS:
+        return True
+    words = re.findall(r"[^\W_]+(?:/[^\W_]+)*", answer.replace("İ", "i").lower())
+    return len(words) <= 4 and not FILLERS.isdisjoint(words) and (FILLERS | PARTS).issuperset(words)
+
+
+LABELS = frozenset(("soru", "question", "frage", "cevap", "answer", "antwort", "yanit", "réponse"))
 
 
 def is_copied(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    body = LABEL.sub("", answer)
-    said = normal(body)
-    sentences = [s for s in SENTENCES.split(question.strip()) if normal(s)]
+    said = normal(LABEL.sub("", answer))
+    every = set(normal(question))
+    if not (every | LABELS).issuperset(said):  # a word that the question lacks
+        return False
+    sentences = [x for x in SENTENCES.split(question.strip()) if normal(x)]
     wholes = [normal(question)] + [normal(" ".join(sentences[k:])) for k in range(1, len(sentences))]
-    labels = {"soru", "question", "frage", "cevap", "answer", "antwort", "yanit", "réponse"}
     for asked in wholes:
         n = len(asked)
         if not n or len(said) < n:
             continue
-        rest = said
-        while rest:
-            while rest and rest[:n] != asked and rest[0] in labels:
-                rest = rest[1:]
-            if rest[:n] != asked:
+        at, end = 0, len(said)
+        while at < end:
+            while at < end and said[at : at + n] != asked and said[at] in LABELS:
+                at += 1
+            if said[at : at + n] != asked:
                 break
-            rest = rest[n:]
-        if not rest or all(w in labels for w in rest) or (rest != said and rest == asked[: len(rest)]):
+            at += n
+        rest = said[at:]
+        if not rest or all(w in LABELS for w in rest) or (at and rest == asked[: len(rest)]):
             return True
     return False
 
 
-def is_refusal(question: str | None, answer: str) -> bool:
-    flat = answer.replace("’", "'")
-    if not REFUSAL.search(flat) or (question and ASKS_FOR_REFUSAL.search(question)):
-        return False
-    answered = 0
-    for s in SENTENCES.split(flat):
-        said = REFUSAL.search(s)
-        words = WORD.findall(s.rpartition(":")[2] if said and ":" in s else s)
-        if said and (":" not in s or len(words) < 5):
-            continue
-        if len(words) >= 4 and not COURTESY.search(s):
-            answered += 1
-    return answered == 0
+def clause_features(words: list[str]) -> list[str]:
+    """Words, their beginnings and endings, and neighbouring pairs."""
+    out = []
+    for a, b in zip(words, [*words[1:], ""], strict=False):
+        out.append(a)
+        if len(a) > 5:
+            out.append("^" + a[:5])
+        if len(a) > 4:
+            out.append("$" + a[-4:])
+        if b:
+            out.append(a + " " + b)
+    return out
 
 
-def letters_of(text: str | None) -> str:
-    return CODE.sub(" ", text or "")
+@functools.cache
+def exemplar_rates(name: str, lang: str) -> dict[str, float]:
+    """How often a feature occurs in a clause of a language's exemplars, each form of clause alike."""
+    forms, rates = {"declining": DECLINING, "courteous": COURTEOUS}[name][lang], {}
+    for form in forms:
+        clauses = [" ".join(filter(None, parts)) for parts in itertools.product(*(part.split("|") for part in form))]
+        for clause in clauses:
+            for f in set(clause_features(normal(clause))):
+                rates[f] = rates.get(f, 0.0) + 1 / len(clauses) / len(forms)
+    return rates
 
 
-class Languages:
-    """Naive Bayes over character trigrams."""
+MODELS = tuple((name, lang) for name in ("declining", "courteous") for lang in DECLINING)
 
-    def __init__(self, log_joint: np.ndarray):
-        self.log_joint = log_joint
 
-    def scores(self, text: str) -> np.ndarray:
-        return self.log_joint[:, ngram.trigrams(text)].sum(axis=1)
+class Refusals:
+    """Log-likelihood ratios of clauses: declining or courteous in any language, against all answers of that language.
 
-    def differ(self, question: str | None, answer: str) -> bool:
-        asked, said = letters_of(question), letters_of(answer)
-        if not question or TRANSLATION_ASKED.search(question):
-            return False
-        if sum(map(str.isalpha, asked)) < LEAST_LETTERS or sum(map(str.isalpha, said)) < LEAST_LETTERS:
-            return False
-        plain = " ".join(w for w in said.split() if not (w[:1].isupper() and len(said.split()) <= 3))  # bare names
-        if sum(map(str.isalpha, plain)) < LEAST_LETTERS:
-            return False
-        q, a = self.scores(asked), self.scores(plain)
-        mine = int(q.argmax())
-        second = np.partition(q, -2)[-2]
-        return int(a.argmax()) != mine and a.max() - a[mine] > LEAST_MARGIN and q[mine] - second > 3
+    background has for each language the number of clauses of its answers that
+    hold each feature of the exemplars, and their number under "".
+    """
 
+    CLAUSE = re.compile(r"(?<=[.!?…])[\"”’»“)]*\s+|\n+|[;:]\s+")
+    UNKNOWN = -1.5  # a word of no exemplar
+    LEAST = 10.0  # what a clause must score
+    PRIOR = 1000  # clauses that are supposed before any are counted, a tenth of them with a given function word
 
-TOKEN = re.compile(r"\d[\d.,]*|[^\W\d_]+|[^\w\s]")
-STOPS = frozenset(".!?…")
-ORDER, BUCKETS = 5, 1 << 18  # contexts of a token; contexts that a worker holds before it passes their counts on
-LEAST_SEEN = 3  # rarer contexts say nothing
+    def __init__(self, background: dict[str, dict[str, int]]):
+        expected = lambda lang, f: self.PRIOR * (0.1 if f in FUNCTION_WORDS[lang] else 0.001)
+        share = lambda lang, f: (background.get(lang, {}).get(f, 0) + expected(lang, f)) / (background.get(lang, {}).get("", 0) + self.PRIOR)
+        self.ratio = {m: {f: float(np.log((r + 1e-4) / (share(m[1], f) + 1e-4))) for f, r in exemplar_rates(*m).items()} for m in MODELS}
+        self.core = frozenset(f for (name, _), ratio in self.ratio.items() if name == "declining" for f, r in ratio.items() if f[0] not in "^$" and " " not in f and r > 2.5)
 
+    def score(self, words: list[str], name: str) -> float:
+        features = set(clause_features(words))
+        return max(
+            sum(ratio[f] for f in features if f in ratio) + self.UNKNOWN * sum(w not in ratio and "^" + w[:5] not in ratio for w in words)
+            for m, ratio in self.ratio.items() if m[0] == name
+        )
 
-def shapes(text: str) -> list[tuple[str, str, str]]:
-    """Tokens whole, by ending, and by place in a frame; punctuation and short words stay whole."""
-    out = []
-    for t in TOKEN.findall(text):
-        if t[0].isdigit():
-            out.append(("0", "0", "0"))
-        elif t[0].isalpha():
-            low = t.replace("İ", "i").lower()
-            out.append((low, low if len(low) <= 3 else "~" + low[-3:], low if len(low) <= 4 else "_"))
-        else:
-            out.append((t, t, t))
-    return out
+    def refuses(self, question: str | None, answer: str) -> bool:
+        flat = answer.replace("’", "'")
+        if self.core.isdisjoint(normal(flat)) or (question and ASKS_FOR_REFUSAL.search(question)):
+            return False
+        declines, answered = False, 0
+        for clause in self.CLAUSE.split(flat):
+            words = normal(clause)
+            if not words:
+                continue
+            quoted = clause.lstrip()[:1] in "“„«\""
+            declining, courteous = (self.score(words, name) for name in ("declining", "courteous"))
+            if not quoted and declining >= self.LEAST and declining >= courteous:
+                declines = True
+            elif courteous < self.LEAST and len(words) >= 4:
+                answered += 1
+        return declines and not answered
 
 
-def frames(shape: list[tuple[str, str, str]], i: int) -> list[str]:
-    """Contexts up to and including token i, from general to special: its ending,
-    the word itself, then its ending after the frames of two, four and seven tokens."""
-    last = shape[i][1]
-    keys = ["0" + last, "1" + shape[i][0]]
-    return keys + [f"{n}{last}\x1e" + "\x1f".join([x[2] for x in shape[max(0, i - k) : i]]) for n, k in ((2, 2), (3, 4), (4, 7))]
+def letters_of(text: str | None) -> str:
+    if not text:
+        return ""
+    return CODE.sub(" ", text) if "`" in text or "://" in text or "<" in text else text
 
 
-def key_of(frame: str) -> int:
-    return int.from_bytes(blake2b(frame.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+class Languages:
+    """Naive Bayes over character trigrams."""
 
+    def __init__(self, log_joint: np.ndarray):
+        self.log_joint = log_joint
 
-def contexts(shape: list[tuple[str, str, str]], i: int) -> list[int]:
-    """64-bit keys of the frames."""
-    return [key_of(f) for f in frames(shape, i)]
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood under each language and number of letters of each text."""
+        c = ngram.codes("\n" + "\n".join([*texts, ""]))
+        text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        mid, left, right = c[1:-1], c[:-2], c[2:]
+        at = np.flatnonzero((mid > 0) & ((left > 0) | (right > 0)))
+        tri = (left[at] * ngram.BASE + mid[at]) * ngram.BASE + right[at]
+        out = np.stack([np.bincount(text_of[at], weights=row[tri], minlength=len(texts)) for row in self.log_joint], axis=1)
+        return out, np.bincount(text_of[np.flatnonzero(mid > 0)], minlength=len(texts))
+
+    def differ(self, questions: list[str | None], answers: list[str]) -> list[bool]:
+        if not answers:
+            return []
+        plain = []
+        for said in map(letters_of, answers):
+            words = said.split(None, 4)
+            plain.append(said if len(words) > 3 else " ".join(w for w in words if not w[:1].isupper()))  # less bare names
+        q, asked = self.scores([letters_of(x) for x in questions])
+        a, said = self.scores(plain)
+        mine, rows = q.argmax(axis=1), np.arange(len(q))
+        second = np.partition(q, -2, axis=1)[:, -2]
+        other = (a.argmax(axis=1) != mine) & (a.max(axis=1) - a[rows, mine] > LEAST_MARGIN) & (q[rows, mine] - second > 3)
+        other &= (asked >= LEAST_LETTERS) & (said >= LEAST_LETTERS)
+        return [bool(o) and bool(x) and not TRANSLATION_ASKED.search(x) for o, x in zip(other, questions, strict=True)]
+
+
+STOPS = ".!?…"
+ORDER = 5  # contexts of a token
+LEAST_SEEN = 3  # rarer contexts say nothing
+CHARS_AT_ONCE = 1 << 22
+_Q = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> 0 space, 1 letter, 2 digit, 3 other; small letter."""
+    kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for cp in range(0x30000):
+        ch = chr(cp)
+        if ch.isspace() or ch == "_":
+            kind[cp] = 0
+        elif ch.isdecimal():
+            kind[cp] = 2
+        elif ch.isalnum():
+            kind[cp] = 1
+            small = "i" if ch == "İ" else ch.lower()
+            low[cp] = ord(small[0])
+    return kind, low
+
+
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_POWERS[0]) < n:
+        _POWERS[0] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _Q, np.uint64)])
+    return _POWERS[0][:n]
+
+
+class Tokens:
+    """Words, numbers and single signs of some texts as hashes: whole, by ending, and by place in a frame, where punctuation and short words stay whole."""
+
+    def __init__(self, texts: list[str]):
+        kinds, low = _characters()
+        codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.r_[0, np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))]
+        k = kinds[codes]
+        digit = k == 2
+        k[1:-1][((codes[1:-1] == ord(".")) | (codes[1:-1] == ord(","))) & digit[:-2] & digit[2:]] = 2  # marks inside a number
+        before = np.r_[np.uint8(0), k[:-1]]
+        start = np.flatnonzero((k > 0) & ((k == 3) | (k != before)))
+        kind = k[start]
+        after = np.r_[k[1:], np.uint8(0)]
+        end = np.flatnonzero((k > 0) & ((k == 3) | (k != after))) + 1
+        size = end - start
+        small = low[codes].astype(np.uint64)
+        if len(start):
+            offset = np.arange(len(codes)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(codes)]))
+            inside = k == 1
+            q = _powers(int(size[kind == 1].max(initial=0)) + 1)
+            whole = np.add.reduceat(np.where(inside, small * q[np.where(inside, offset, 0)], np.uint64(0)), start)
+        else:
+            whole = np.empty(0, np.uint64)
+        whole[kind == 2] = 1
+        whole[kind == 3] = small[start[kind == 3]] * np.uint64(_Q) + np.uint64(7)
+        last = lambda n: sum(small[np.maximum(end - d, 0)] * _powers(8)[d] for d in range(1, n + 1))
+        self.ending = np.where((kind == 1) & (size > 3), last(3) ^ np.uint64(0x5555), whole)
+        self.frame = np.where((kind == 1) & (size > 4), np.uint64(3), whole)
+        self.whole, self.first = whole, first
+        self.text_of = np.searchsorted(first, start, "right") - 1
+        self.stop = (kind == 3) & np.isin(codes[start], [ord(c) for c in STOPS])
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """Keys of the contexts up to and including the tokens at, from general to special: its ending,
+        the word itself, then its ending after the frames of two, four and seven tokens."""
+
+        def key(h: np.ndarray, level: int) -> np.ndarray:
+            h = (h ^ np.uint64(level)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+        keys, h = [key(self.ending[at], 0), key(self.whole[at], 1)], self.ending[at].copy()
+        for d in range(1, 8):
+            from_ = np.maximum(at - d, 0)
+            h = h * np.uint64(_Q) + np.where((at >= d) & (self.text_of[from_] == self.text_of[at]), self.frame[from_], np.uint64(0))
+            if d in (2, 4, 7):
+                keys.append(key(h, d))
+        return np.stack(keys, axis=1) if len(at) else np.empty((0, ORDER), np.int64)
+
+
+def parts_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of the texts that are counted together."""
+    ends, at = np.cumsum([len(t) for t in texts]), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS_AT_ONCE, "right")))
+        yield at, to
+        at = to
 
 
 def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, int] = {}
-    ended: dict[str, int] = {}
-
-    def counted() -> pa.RecordBatch:
-        columns = [key_of(f) for f in seen], list(seen.values()), [ended.get(f, 0) for f in seen]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["context", "n", "ends"])
-
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            shape = shapes(text or "")
-            for i in range(len(shape) - 1):
-                if shape[i][0] in STOPS:
-                    continue
-                end = shape[i + 1][0] in STOPS
-                for f in frames(shape, i):
-                    seen[f] = seen.get(f, 0) + 1
-                    if end:
-                        ended[f] = ended.get(f, 0) + 1
-                if len(seen) > BUCKETS:
-                    yield counted()
-                    seen.clear()
-                    ended.clear()
-    yield counted()
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        for a, b in parts_of(texts):
+            tokens = Tokens(texts[a:b])
+            at = np.arange(len(tokens.whole) - 1)
+            at = at[(tokens.text_of[:-1] == tokens.text_of[1:]) & ~tokens.stop[:-1]] if len(at) else at[:0]
+            keys, where = np.unique(tokens.contexts(at), return_inverse=True)
+            ends = np.bincount(where.reshape(-1), weights=np.repeat(tokens.stop[at + 1], ORDER), minlength=len(keys))
+            n = np.bincount(where.reshape(-1), minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ends.astype(np.int64))], names=["context", "n", "ends"])
 
 
 def fit_ends(answers: DataFrame) -> DataFrame:
@@ -222,13 +392,14 @@ def end_rate(counts: Iterable[tuple[int, int]], prior: float = 0.05, weight: flo
     return float(p)
 
 
-def open_end(answer: str) -> bool | list[int]:
-    """Whether the answer's form shows that it is cut; the contexts of its last word where the form leaves that open."""
-    text = CODE.sub(" ", answer) if answer.count("`") % 2 == 0 else answer
-    text = re.sub(r"[\s*_~​]+$", "", text)
+def open_end(answer: str) -> bool | str:
+    """Whether the answer's form shows that it is cut; its text where the form leaves that open."""
+    text = CODE.sub(" ", answer) if "`" in answer and answer.count("`") % 2 == 0 or "://" in answer or "<" in answer else answer
+    while text != (bare := text.rstrip().rstrip("*_~\u200b")):
+        text = bare
     if not text:
         return False
-    if OPEN_NUMBER.search(text):
+    if OPEN_NUMBER.search(text, max(0, len(text) - 60)):
         return True
     last = text.rstrip("\"”’»“)]' ")
     if not last or last[-1] in STOPS:
@@ -239,24 +410,7 @@ def open_end(answer: str) -> bool | list[int]:
         others = [ITEM.sub("", x) for x in lines[:-1]]
         if all(len(WORD.findall(x)) <= 5 for x in others):
             return False
-    if text[-1] in ",;:(–-/":
-        return True
-    shape = shapes(text)
-    return contexts(shape, len(shape) - 1) if shape else False
-
-
-class Endings:
-    """counts has the (seen, ended) rows of the contexts in keys; other contexts are unseen."""
-
-    def __init__(self, counts: np.ndarray, keys: Iterable[int] = (), prior: float = 0.05, weight: float = 2.0):
-        self.counts, self.at, self.prior, self.weight = counts, {h: i for i, h in enumerate(keys)}, prior, weight
-
-    def truncated(self, answer: str) -> bool:
-        last = open_end(answer)
-        if isinstance(last, bool):
-            return last
-        counts = [self.counts[:, self.at[h]] if h in self.at else (0, 0) for h in last]
-        return end_rate(counts, self.prior, self.weight) < ENDS
+    return True if text[-1] in ",;:(–-/" else text
 
 
 SCHEMA = "record_id string, answer_pos long, defect string"
@@ -286,32 +440,82 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def fit_models(pairs: DataFrame) -> tuple[np.ndarray, dict[str, dict[str, int]]]:
+    """Trigram counts of the questions by language, and by language how many clauses of the answers hold each feature of the exemplars.
+
+    One pass; what reaches the driver is bounded by the alphabet and by the exemplars.
+    """
+    langs = ngram.LANGUAGES
+    features = {lang: {f: i for i, f in enumerate(sorted(exemplar_rates("declining", lang).keys() | exemplar_rates("courteous", lang).keys()))} for lang in langs}
+    starts = np.cumsum([ngram.SIZE * len(langs), *(len(features[lang]) + 1 for lang in langs)])  # trigrams, then each language's features and number of clauses
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(starts[-1], np.int64)
+        for batch in batches:
+            labels, questions, answers = (batch.column(i).to_pylist() for i in range(3))
+            for i, lang in enumerate(langs):
+                own = [j for j, x in enumerate(labels) if x == lang]
+                asked = "\n".join(questions[j] for j in own if questions[j])
+                if asked:
+                    seen[i * ngram.SIZE : (i + 1) * ngram.SIZE] += np.bincount(ngram.trigrams(asked), minlength=ngram.SIZE)
+                place, part = features[lang], seen[starts[i] : starts[i + 1]]
+                for clause in Refusals.CLAUSE.split("\n".join(answers[j] for j in own if answers[j]).replace("’", "'")):
+                    part[-1] += 1
+                    for f in set(clause_features(normal(clause))).intersection(place):
+                        part[place[f]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], names=["k", "n"])
+
+    primary = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]+)", 1))
+    got = spread(pairs.select(primary.alias("lang"), "question", "answer")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(starts[-1])
+    flat[got["k"].to_numpy(dtype=np.int64)] = got["n"]
+    background = {lang: dict(zip([*features[lang], ""], flat[starts[i] : starts[i + 1]].astype(np.int64).tolist(), strict=True)) for i, lang in enumerate(langs)}
+    return flat[: starts[0]].reshape(-1, ngram.SIZE), background
+
+
+def judged(questions: list[str | None], answers: list[str | None], languages: Languages, refusals: Refusals) -> list[tuple[str | None, list[int] | None]]:
+    """Of each pair its defect, or the contexts of its last word where only the likelihood of an end can tell."""
+    out: list[tuple[str | None, list[int] | None]] = []
+    for q, a in zip(questions, answers, strict=True):
+        out.append(("empty" if is_empty(a) else "copied" if is_copied(q, a) else "refusal" if refusals.refuses(q, a) else None, None))
+    rest = [i for i, (defect, _) in enumerate(out) if not defect]
+    ends = []
+    for i, wrong in zip(rest, languages.differ([questions[i] for i in rest], [answers[i] for i in rest]), strict=True):
+        end = False if wrong else open_end(answers[i])
+        if wrong or end is True:
+            out[i] = ("wrong_language" if wrong else "truncated", None)
+        elif end:
+            ends.append((i, end))
+    if ends:
+        tokens = Tokens([end for _, end in ends])
+        final = np.searchsorted(tokens.text_of, np.arange(len(ends)), "right") - 1
+        some = np.flatnonzero((final >= 0) & (tokens.text_of[np.maximum(final, 0)] == np.arange(len(ends)))) if len(tokens.text_of) else []
+        for k, keys in zip(some, tokens.contexts(final[some]).tolist() if len(some) else [], strict=True):
+            out[ends[k][0]] = (None, keys)
+    return out
+
+
 def defective(pairs: DataFrame) -> DataFrame:
     """(record_id, answer_pos, defect) of the defective pairs."""
-    languages = ngram.log_joint(ngram.fit(pairs, "lang", "question"))
-    shared = pairs.sparkSession.sparkContext.broadcast(languages)  # 4 MB at any input size
+    counts, background = fit_models(pairs)
+    shared = pairs.sparkSession.sparkContext.broadcast((ngram.log_joint(counts), background))  # 4 MB at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Languages(shared.value)
+        languages, refusals = Languages(shared.value[0]), Refusals(shared.value[1])
         for batch in batches:
-            rows = []
-            for rid, pos, question, answer in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if rid is None:
-                    continue
-                defect = form_defect(question, answer, judge)
-                last = [] if defect else open_end(answer)
-                if defect or last is True:
-                    rows.append((rid, pos, defect or "truncated", None))
-                elif last:
-                    rows.append((rid, pos, None, last))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["record_id", "answer_pos", "defect", "contexts"])
-
-    judged = spread(pairs.select("record_id", "answer_pos", "question", "answer")).mapInArrow(run, SCHEMA + ", contexts array<long>").distinct()
-    judged = written(judged, "pairs")  # both parts below are read from it
-    clear = judged.where("defect is not null").select("record_id", "answer_pos", "defect")
-    return clear.unionByName(cut_ends(judged.where("defect is null"), fit_ends(pairs.select("answer")))).distinct()
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            questions, answers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            made = judged(questions, answers, languages, refusals)
+            kept = [i for i, (defect, last) in enumerate(made) if defect or last]
+            at = pa.array(kept, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([made[i][0] for i in kept], pa.string()), pa.array([made[i][1] for i in kept], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["record_id", "answer_pos", "defect", "contexts"])
+
+    rows = spread(pairs.select("record_id", "answer_pos", "question", "answer")).mapInArrow(run, SCHEMA + ", contexts array<long>").distinct()
+    rows = written(rows, "pairs")  # both parts below are read from it
+    clear = rows.where("defect is not null").select("record_id", "answer_pos", "defect")
+    return clear.unionByName(cut_ends(rows.where("defect is null"), fit_ends(pairs.select("answer")))).distinct()
 
 
 def cut_ends(answers: DataFrame, ends: DataFrame) -> DataFrame:
@@ -327,19 +531,3 @@ def cut_ends(answers: DataFrame, ends: DataFrame) -> DataFrame:
     counts = F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"))
     rows = each.join(ends, "context", "left").groupBy("record_id", "answer_pos", "contexts").agg(F.sort_array(F.collect_list(counts)).alias("counts"))
     return rows.select("record_id", "answer_pos", "counts").mapInArrow(run, SCHEMA)
-
-
-def form_defect(question: str | None, answer: str | None, languages: Languages) -> str | None:
-    """The defect that needs no end-of-text likelihood."""
-    if is_empty(answer):
-        return "empty"
-    if is_copied(question, answer):
-        return "copied"
-    if is_refusal(question, answer):
-        return "refusal"
-    return "wrong_language" if languages.differ(question, answer) else None
-
-
-def defect_of(question: str | None, answer: str | None, languages: Languages, endings: Endings) -> str | None:
-    defect = form_defect(question, answer, languages)
-    return defect or ("truncated" if endings.truncated(answer) else None)

@@ -144,7 +144,7 @@ def tiny_models():
     counts = np.zeros((4, ngram.SIZE))
     for i, text in enumerate([PROSE, "What the table protects is not the word itself and every review needs an early fragment", "Der Speicher misst den Fluss und die Grenze, wenn das Ergebnis nicht möglich ist", "La règle dite de la forêt mesure le critère et la qualité du registre"]):
         counts[i] = np.bincount(ngram.trigrams(text), minlength=ngram.SIZE)
-    return pairs.Languages(ngram.log_joint(counts)), pairs.Endings(np.zeros((2, pairs.ORDER * pairs.BUCKETS)))
+    return pairs.Languages(ngram.log_joint(counts)), pairs.Refusals({})
 
 
 @pytest.mark.parametrize(
@@ -153,6 +153,9 @@ def tiny_models():
         ("Konu nedir?", None, "empty"),
         ("Konu nedir?", " ​\n", "empty"),
         ("Konu nedir?", "N/A", "empty"),
+        ("Konu nedir?", "no answer", "empty"),
+        ("Konu nedir?", "cevap yok", "empty"),
+        ("Is it so?", "No", None),
         ("Konu nedir?", "Soru: konu  NEDİR?", "copied"),
         ("Önce bu. Konu nedir?", "Konu nedir? Konu nedir?", "copied"),
         ("Konu nedir?", "Konu nedir? Bu, yeni bir sunucu için anlam kazandı.", None),
@@ -169,7 +172,37 @@ def tiny_models():
     ],
 )
 def test_defects(question, answer, defect):
-    assert pairs.defect_of(question, answer, *tiny_models()) == defect
+    got, contexts = pairs.judged(["x", question], ["Bu yol yeni açıldı.", answer], *tiny_models())[1]
+    assert (got or ("truncated" if contexts else None)) == defect  # nothing is seen here, so every open end is a cut
+
+
+#: Phrasings that no exemplar holds.
+HELD_OUT = (
+    "I'm sorry, but I cannot do that.", "I won't answer this question.", "I refuse to respond.", "Bu soruya yanıt vermek istemiyorum.", "Désolé, je refuse.", "I'm afraid I can't discuss this.", "Dazu möchte ich nichts sagen.",
+    "Je ne souhaite pas répondre.", "Buna cevap vermem mümkün değil.", "Bu isteği geri çevirmek zorundayım.", "That goes beyond what I may say.", "Tut mir leid, das ist mir nicht erlaubt.",
+)
+
+
+@pytest.mark.parametrize("answer", HELD_OUT)
+def test_declining_answers_that_no_exemplar_holds(answer):
+    _, refusals = tiny_models()
+    assert refusals.refuses("Was ist das?", answer)
+    assert not refusals.refuses("Bir ret cümlesi yaz.", answer)
+    assert not refusals.refuses("Was ist das?", f"Şöyle yazılabilir: “{answer}”")
+    assert not refusals.refuses("Was ist das?", answer + " Der Speicher misst heute den Fluss und die Grenze im ganzen Land.")
+
+
+def test_tokens_against_plain_ones():
+    token = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]")
+    texts = ["Bu yol 3,5 km. İyi mi?", "", "a_b 12.\nx", "…evet (Hayır) 1.2.3"]
+    tokens = pairs.Tokens(texts)
+    for i, text in enumerate(texts):
+        assert (tokens.text_of == i).sum() == len(token.findall(text))
+    same = pairs.Tokens(["İYİ iyi", "iyi"])
+    assert len(set(same.whole.tolist())) == 1
+    alone, among = pairs.Tokens(["ve bir yol açıldı"]), pairs.Tokens(["önce bu. Sonra", "ve bir yol açıldı", "son"])
+    at = np.flatnonzero(among.text_of == 1)
+    assert (alone.contexts(np.arange(4)) == among.contexts(at)).all()
 
 
 def test_conversation_pairs(spark):
@@ -182,19 +215,20 @@ def test_conversation_pairs(spark):
 
 
 def test_contexts_do_not_collide():
-    assert len({k for n in range(100_000) for k in pairs.contexts([(f"wort{n}", f"~{n}", "_")], 0)}) == 500_000
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(100_000)]
+    tokens = pairs.Tokens(words)
+    keys = tokens.contexts(np.arange(100_000))
+    endings = {w[-3:] for w in words}
+    assert len(np.unique(keys[:, 1])) == 100_000 and len(np.unique(keys[:, 0])) == len(endings) == len(np.unique(keys[:, 3]))
+    assert len(np.unique(keys)) == 100_000 + 4 * len(endings)
 
 
 def test_unseen_word_takes_no_counts_of_another(spark):
-    import zlib
-
-    bucket = zlib.crc32(b"wkestanelerden") % (1 << 18)
-    rng = random.Random(8)
-    other = next(w for w in ("".join(rng.choices("abcdefghiklmnoprstuvyz", k=9)) for _ in range(20_000_000)) if zlib.crc32(b"w" + w.encode()) % (1 << 18) == bucket)
-    whole = [(f"w{i}", 0, None, f"Bu {other}. Yol bitti.", "tr") for i in range(9)]
-    d = spark.createDataFrame([*whole, ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("same", 0, None, f"Yol üzerinde yeni bir {other}", "tr"), (None, 0, None, "Yol üzerinde kestanelerden", "tr")], "record_id string, answer_pos long, question string, answer string, lang string")
+    whole = [(f"w{i}", 0, None, "Bu kestaneler. Yol bitti.", "tr") for i in range(9)]
+    d = spark.createDataFrame([*whole, ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("same", 0, None, "Yol üzerinde yeni bir kestaneler", "tr"), (None, 0, None, "Yol üzerinde kestanelerden", "tr")], "record_id string, answer_pos long, question string, answer string, lang string")
     assert rows(pairs.defective(d)) == [("cut", 0, "truncated")]
-    assert rows(pairs.fit_ends(d.select("answer")).where(f"context = {pairs.key_of('1' + other)}").select("n", "ends")) == [(9, 9)]
+    key = int(pairs.Tokens(["kestaneler"]).contexts(np.array([0]))[0, 1])
+    assert rows(pairs.fit_ends(d.select("answer")).where(f"context = {key}").select("n", "ends")) == [(9, 9)]
 
 
 # 5
