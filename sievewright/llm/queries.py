@@ -65,6 +65,10 @@ def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "release_mixture"))
 
 
+def p6_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.domain_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "release_mixture"))
+
+
 def p6_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "release_mixture"))
 

@@ -192,6 +192,15 @@ def test_declining_answers_that_no_exemplar_holds(answer):
     assert not refusals.refuses("Was ist das?", answer + " Der Speicher misst heute den Fluss und die Grenze im ganzen Land.")
 
 
+def test_hashed_features_are_the_plain_ones():
+    features = sorted(set().union(*(pairs.exemplar_rates(*m) for m in pairs.MODELS)))
+    known = {pairs.feature_hash(f): f for f in features}
+    assert len(known) == len(features)
+    text = "I'm sorry, but I can't help with that. Bu isteğinizi karşılamam mümkün değil; je ne peux pas."
+    got = Counter(known[h] for h in pairs.Tokens([text]).features().tolist() if h in known)
+    assert got == Counter(f for clause in re.split("[.,;]", text) for f in pairs.clause_features(pairs.normal(clause)) if f in features)
+
+
 def test_tokens_against_plain_ones():
     token = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]")
     texts = ["Bu yol 3,5 km. İyi mi?", "", "a_b 12.\nx", "…evet (Hayır) 1.2.3"]
@@ -404,6 +413,54 @@ def test_mixture(spark):
     chosen = mixing.selection(d, m).collect()
     assert all(1 <= r["uses"] <= {"a": 2, "b": 3, "c": 1}[r["mixture_name"]] for r in chosen)
     assert len({(r["release_id"], r["mixture_name"], r["doc_id"]) for r in chosen}) == len(chosen)
+    domains = {(r["release_id"], r["domain_name"]): r for r in mixing.domain_report(d, m).collect()}
+    assert domains["r", "tip"]["target_chars"] == domains["r", "tarih"]["target_chars"] > 0
+    assert abs(domains["r", "tip"]["actual_chars"] / domains["r", "tip"]["target_chars"] - 1) < 0.05
+    assert mixing.report(d.limit(0), m).count() == 4 and mixing.report(d, m.limit(0)).count() == 0
+
+
+def small_plan(weights, targets):
+    from pyspark.sql import Row
+
+    rows = [Row(release_id="r", mixture_name=f"m{i}", domain=dom, target_share=t, size_ratio=1.0, sample_weight=w, source_ids=["s"], max_repeats=2) for i, (w, t, dom) in enumerate(zip(weights, targets, ("a", "b"), strict=True))]
+    return mixing.Plan(rows, 1000)
+
+
+def test_rates_meet_component_and_domain_targets():
+    plan = small_plan((1.0, 1.0), (0.5, 0.5))
+    c = np.array([0, 0, 1, 1])
+    p = np.array([[1.0, 0, 0], [0, 1.0, 0], [1.0, 0, 0], [0, 1.0, 0]])
+    n = np.array([400.0, 400, 400, 400])
+    r, steps, gradient = plan.solve(0, c, p, n)
+    whole = np.bincount(c, weights=r * n)
+    assert steps < mixing.STEPS and gradient < 1e-5 and np.allclose(whole, 500, rtol=1e-6)
+    assert np.allclose(((r * n)[:, None] * p).sum(axis=0)[:2], 500, rtol=1e-3) and r.min() >= 0 and r.max() <= 2
+    # text of another domain is avoided where there is a choice
+    far = np.array([[1.0, 0, 0], [0, 0, 1.0], [0, 1.0, 0], [0, 0, 1.0]])
+    r, _, _ = plan.solve(0, c, far, n)
+    assert r[1] < r[0] and r[3] < r[2] and np.allclose(np.bincount(c, weights=r * n), 500, rtol=1e-6)
+
+
+def test_weight_says_whose_target_gives_way():
+    c, p, n = np.array([0, 1]), np.array([[1.0, 0, 0], [1.0, 0, 0]]), np.array([2000.0, 2000.0])
+    sizes = []
+    for weights in ((9.0, 1.0), (1.0, 9.0)):
+        plan = small_plan(weights, (0.5, 0.5))
+        assert plan.weight.tolist() == list(weights)
+        plan.target = np.array([500.0, 500.0])
+        keep, mixing.scaled = mixing.scaled, lambda r, n, cap, target: r
+        try:
+            sizes.append(plan.solve(0, c, p, n)[0] * n)
+        finally:
+            mixing.scaled = keep
+    assert abs(sizes[0][0] - 500) < abs(sizes[0][1] - 500) and abs(sizes[1][1] - 500) < abs(sizes[1][0] - 500)
+
+
+def test_posteriors_are_soft_and_whole():
+    rng = np.random.default_rng(1)
+    log_words = np.log(rng.dirichlet(np.ones(mixing.BUCKETS), size=3)).astype(np.float32)
+    q = mixing.posteriors(["bir iki üç " * 40, "", "dört beş", "altı " * 3], log_words)
+    assert (q.sum(axis=1) == mixing.LEVELS).all() and q.min() >= 0 and mixing.posteriors([], log_words).shape == (0, 3)
 
 
 # 8
