@@ -42,7 +42,6 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 ENTITY = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|[a-zA-Z][a-zA-Z\d]*);")
 VALID = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 QUOTES = "“”„‘’\"'«»‹›()[]`"
-MAX_STATES = 60
 
 
 def cost(s: str) -> float:
@@ -118,22 +117,22 @@ def edges(s: str, first: bool) -> Iterator[tuple[str, str]]:
 
 
 def search(s: str) -> tuple[str, tuple[str, ...]]:
-    """Cheapest reachable string and the operations that lead to it."""
+    """Cheapest reachable string and the operations that lead to it.
+
+    Every step but the first shortens the string, so the search ends by itself.
+    """
     best, path = (cost(s), 0), ()
     found, heap, seen = s, [(best[0], 0, s, ())], {s}
-    while heap and len(seen) < MAX_STATES:
+    while heap:
         c, depth, now, ops = heapq.heappop(heap)
         if (c, depth) < best:
             best, found, path = (c, depth), now, ops
-        if depth >= 4 or (now.isascii() and "&" not in now):
+        if now.isascii() and "&" not in now:
             continue
         for op, after in edges(now, depth == 0):
             if after not in seen:
                 seen.add(after)
                 heapq.heappush(heap, (cost(after), depth + 1, after, (*ops, op)))
-    for c, depth, now, ops in heap:
-        if (c, depth) < best:
-            best, found, path = (c, depth), now, ops
     return found, path
 
 
