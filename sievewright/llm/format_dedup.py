@@ -5,8 +5,9 @@ canonical form is the kind of line plus its sorted (name, value) fields, each
 value without white space and punctuation and with letter case folded
 (i, ı, İ and I are one letter, ß is ss).
 
-Canonical records are range-partitioned by (hash of the key, record id) and
-sorted in each partition by (hash, full key, record id); Spark's sort spills.
+Canonical records are written once, range-partitioned by (hash of the key,
+record id) and sorted in each partition by (hash, full key, record id);
+Spark's sort spills.
 One scan then compares full neighbouring keys. A group may span any number of
 partitions, so a group with a third of all rows is still spread evenly; the
 first and last runs of each partition are stitched through a table of at most
@@ -15,8 +16,9 @@ two hashes a partition.
 Defined results: a null line belongs to no group; an unfinished JSON line
 equals nothing; a blank line is plain text with an empty value and equals
 other blank lines; rows without record id are counted as copies but never
-named; repeated (record id, line) rows count once each as copies while the
-id pairs stay distinct; an empty table gives no rows.
+named, and a group of such rows alone has no first id; repeated (record id,
+line) rows count once each as copies while the id pairs stay distinct; the
+largest possible id stands for none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,14 +98,17 @@ def canonical_keys(lines: list[str | None]) -> list[str | None]:
     return [None if p is None else p[0] + FIELD + FIELD.join(sorted(k + VALUE + (next(values) if v is not None else NULL + next(values)) for k, v in p[1])) for p in parsed]
 
 
+NAMELESS = (1 << 63) - 1  # stands for a missing record id; sorts last
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = pa.array(canonical_keys(batch.column(1).to_pylist()), type=pa.string())
-        made = pa.RecordBatch.from_arrays([batch.column(0), keys], names=["record_id", "key"])
+        made = pa.RecordBatch.from_arrays([batch.column(0), keys, *batch.columns[2:]], names=["record_id", "key", *batch.schema.names[2:]])
         yield made.filter(pc.is_valid(keys))
 
 
-SCANNED = "h long, first_id long, record_id long, run long, edge boolean, edge_key string"
+SCANNED = "h long, first_id long, record_id long, run long, edge boolean, edge_key string, line string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +117,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Emits each member with the run's first id. Members of hashes that touch
     the partition's ends are marked, and the first of each such run carries
     the key for stitching. Only the runs of the current last hash are held,
-    as ids, never the keys of earlier runs.
+    as ids, never the keys of earlier runs. Where the lines come along, the
+    first row of each run keeps its line.
     """
-    schema = pa.schema([("h", pa.int64()), ("first_id", pa.int64()), ("record_id", pa.int64()), ("run", pa.int64()), ("edge", pa.bool_()), ("edge_key", pa.string())])
+    schema = pa.schema([("h", pa.int64()), ("first_id", pa.int64()), ("record_id", pa.int64()), ("run", pa.int64()), ("edge", pa.bool_()), ("edge_key", pa.string()), ("line", pa.string())])
     prev_h = prev_key = None
     first_id, run, first_h = None, 0, None
     held: list[pa.RecordBatch] = []  # rows whose hash may turn out to be the partition's last
 
-    def out(h, first, rid, runs, edge, keys):
-        return pa.RecordBatch.from_arrays([h, first, rid, runs, edge, keys], schema=schema)
+    def out(*columns):
+        return pa.RecordBatch.from_arrays(list(columns), schema=schema)
 
     for batch in batches:
         n = batch.num_rows
@@ -154,7 +160,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from held
             held = []
         body = np.searchsorted(hs, last_h, "left")
-        made = out(pa.array(hs), pa.array(firsts), pa.array(ids), pa.array(runs), pa.array(edge), pa.array(keys, type=pa.string()))
+        lines = pc.if_else(starts, batch.column("line"), None) if "line" in batch.schema.names else pa.nulls(n, pa.string())
+        made = out(pa.array(hs), pa.array(firsts), pa.array(ids), pa.array(runs), pa.array(edge), pa.array(keys, type=pa.string()), lines)
         if body:
             yield made.slice(0, int(body))
         if edge[body]:  # the whole partition so far has one hash: final already
@@ -163,38 +170,51 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(made.slice(int(body)))
         prev_h, prev_key = int(last_h), key[n - 1].as_py()
     for made in held:
-        yield out(made.column("h"), made.column("first_id"), made.column("record_id"), made.column("run"), pa.array([True] * made.num_rows), made.column("edge_key"))
+        yield out(made.column("h"), made.column("first_id"), made.column("record_id"), made.column("run"), pa.array([True] * made.num_rows), made.column("edge_key"), made.column("line"))
 
 
-def _sorted_records(lines: DataFrame, id_col: str, line_col: str, partitions: int | None) -> DataFrame:
+def _sorted_records(lines: DataFrame, id_col: str, line_col: str, partitions: int | None, keep_line: bool) -> DataFrame:
     spark = lines.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = spread(lines.select(F.col(id_col).cast("long").alias("record_id"), F.col(line_col).cast("string"))).mapInArrow(_keys, "record_id long, key string")
-    keyed = keyed.select(F.xxhash64("key").alias("h"), "key", "record_id")
-    return keyed.repartitionByRange(n, "h", "record_id").sortWithinPartitions("h", "key", F.col("record_id").asc_nulls_last())
+    line = F.col(line_col).cast("string")
+    rows = lines.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("record_id"), line.alias("_line"), *([line.alias("line")] if keep_line else []))
+    keyed = spread(rows).mapInArrow(_keys, "record_id long, key string" + (", line string" if keep_line else ""))
+    # written, as the range partitioning reads its columns twice: once to sample them
+    keyed = written(keyed.select(F.xxhash64("key").alias("h"), *keyed.columns), "keys")
+    return keyed.repartitionByRange(n, "h", "record_id").sortWithinPartitions("h", "key", "record_id")
 
 
-def copy_members(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
-    """(first_record_id, record_id) of every row whose canonical form is known."""
-    named = lines.where(F.col(id_col).isNotNull())
-    scanned = written(_sorted_records(named, id_col, line_col, partitions).mapInArrow(_scan, SCANNED), "runs")
+def copy_members(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None, keep_line: bool = False) -> DataFrame:
+    """(h, first_record_id, record_id, line) of every row whose canonical form is known.
+
+    h is the hash of the canonical form; line is the row's text, kept for the
+    first rows of runs if asked for.
+    """
+    scanned = written(_sorted_records(lines, id_col, line_col, partitions, keep_line).mapInArrow(_scan, SCANNED), "runs")
     # At most two hashes a partition: bounded by the number of partitions, not by the data.
     edges = scanned.where(F.col("edge") & F.col("edge_key").isNotNull()).select(F.col("h").alias("eh"), "edge_key", F.col("first_id").alias("local_id"))
     edges = edges.select("eh", "local_id", F.min("local_id").over(Window.partitionBy("eh", "edge_key")).alias("whole_id")).distinct()
-    inner = scanned.where(~F.col("edge")).select(F.col("first_id").alias("first_record_id"), "record_id")
+    inner = scanned.where(~F.col("edge")).select("h", F.col("first_id").alias("first_record_id"), "record_id", "line")
     outer = scanned.where("edge").join(F.broadcast(edges), (F.col("h") == F.col("eh")) & (F.col("first_id") == F.col("local_id")))
-    return inner.unionByName(outer.select(F.col("whole_id").alias("first_record_id"), "record_id"))
+    return inner.unionByName(outer.select("h", F.col("whole_id").alias("first_record_id"), "record_id", "line"))
 
 
 def copy_pairs(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
     """(first_record_id, copy_record_id): the group's smallest id with each other id."""
+    named = lines.where(F.col(id_col).isNotNull())
     return (
-        copy_members(lines, id_col, line_col, partitions)
+        copy_members(named, id_col, line_col, partitions)
         .where("record_id <> first_record_id")
         .select("first_record_id", F.col("record_id").alias("copy_record_id"))
     )
 
 
 def representatives(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
-    """One row per group: its smallest record id and exact number of copies."""
-    return copy_members(lines, id_col, line_col, partitions).groupBy("first_record_id").agg(F.count(F.lit(1)).alias("copies"))
+    """One row per group: its smallest record id, that record's line and the exact number of copies.
+
+    Groups of nameless rows are told by the 64-bit hash of their canonical form.
+    """
+    members = copy_members(lines, id_col, line_col, partitions, keep_line=True)
+    first = F.max(F.when(F.col("record_id") == F.col("first_record_id"), F.col("line")))
+    groups = members.groupBy("first_record_id", "h").agg(first.alias("record"), F.count(F.lit(1)).alias("copies"))
+    return groups.select(F.nullif(F.col("first_record_id"), F.lit(NAMELESS)).alias("first_record_id"), "record", "copies")
