@@ -44,6 +44,7 @@ PARTS = frozenset("no not the there is keine kein bir henüz yet available veril
 LABEL = re.compile(r"^\W*(?:soru|cevap|yanıt|question|answer|frage|antwort|réponse|q|a|s|c|prompt|response|user|assistant|kullanıcı)\s*[:：]\s*", re.I)
 SENTENCES = re.compile(r"(?<=[.!?…])[\"”’»“)]*\s+|\n+")
 WORD = re.compile(r"[^\W_]+")
+FILLER_WORD = re.compile(r"[^\W_]+(?:/[^\W_]+)*")
 
 #: Clauses that decline and courteous ones around them, put together of alternatives from left to right.
 DECLINING = {
@@ -112,19 +113,22 @@ LEAST_LETTERS = 8
 ENDS = 0.2  # an answer is cut if fewer of its last words' occurrences end a sentence
 
 
+def fold(text: str) -> str:
+    return text.replace("İ", "i").replace("I", "i").replace("ı", "i").lower()
+
+
 def normal(text: str) -> list[str]:
-    return WORD.findall(text.replace("İ", "i").replace("I", "ı").replace("ı", "i").lower())
+    return WORD.findall(fold(text))
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 200:
-        return not any(map(str.isalnum, answer))
-    bare = "".join(ch for ch in answer if ch.isalnum() or ch == "/")
-    if not bare.strip("/") or bare.lower().replace("İ".lower(), "i") in FILLERS or bare.lower() in FILLERS:
+    if len(answer) > 60:  # longer than any filler
+        return WORD.search(answer) is None
+    words = FILLER_WORD.findall(answer.replace("İ", "i").lower())
+    if not words or "".join(words) in FILLERS:
         return True
-    words = re.findall(r"[^\W_]+(?:/[^\W_]+)*", answer.replace("İ", "i").lower())
     return len(words) <= 4 and not FILLERS.isdisjoint(words) and (FILLERS | PARTS).issuperset(words)
 
 
@@ -134,7 +138,11 @@ LABELS = frozenset(("soru", "question", "frage", "cevap", "answer", "antwort", "
 def is_copied(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    said = normal(LABEL.sub("", answer))
+    body = LABEL.sub("", answer)
+    first = WORD.search(body)
+    if first and fold(first[0]) not in fold(question) and fold(first[0]) not in LABELS:
+        return False
+    said = normal(body)
     every = set(normal(question))
     if not (every | LABELS).issuperset(said):  # a word that the question lacks
         return False
@@ -189,8 +197,8 @@ MODELS = tuple((name, lang) for name in ("declining", "courteous") for lang in D
 class Refusals:
     """Log-likelihood ratios of clauses: declining or courteous in any language, against all answers of that language.
 
-    background has for each language the number of clauses of its answers that
-    hold each feature of the exemplars, and their number under "".
+    background has for each language how often its answers hold each feature of
+    the exemplars, and the number of their clauses under "".
     """
 
     CLAUSE = re.compile(r"(?<=[.!?…])[\"”’»“)]*\s+|\n+|[;:]\s+")
@@ -201,19 +209,37 @@ class Refusals:
     def __init__(self, background: dict[str, dict[str, int]]):
         expected = lambda lang, f: self.PRIOR * (0.1 if f in FUNCTION_WORDS[lang] else 0.001)
         share = lambda lang, f: (background.get(lang, {}).get(f, 0) + expected(lang, f)) / (background.get(lang, {}).get("", 0) + self.PRIOR)
-        self.ratio = {m: {f: float(np.log((r + 1e-4) / (share(m[1], f) + 1e-4))) for f, r in exemplar_rates(*m).items()} for m in MODELS}
-        self.core = frozenset(f for (name, _), ratio in self.ratio.items() if name == "declining" for f, r in ratio.items() if f[0] not in "^$" and " " not in f and r > 2.5)
-
-    def score(self, words: list[str], name: str) -> float:
-        features = set(clause_features(words))
-        return max(
-            sum(ratio[f] for f in features if f in ratio) + self.UNKNOWN * sum(w not in ratio and "^" + w[:5] not in ratio for w in words)
-            for m, ratio in self.ratio.items() if m[0] == name
-        )
+        ratio = {m: {f: float(np.log((r + 1e-4) / (share(m[1], f) + 1e-4))) for f, r in exemplar_rates(*m).items()} for m in MODELS}
+        self.table: dict[str, np.ndarray] = {}  # of each feature the ratio in each model
+        for i, m in enumerate(MODELS):
+            for f, r in ratio[m].items():
+                self.table.setdefault(f, np.zeros(len(MODELS)))[i] = r
+        core = {f for m, known in ratio.items() if m[0] == "declining" for f, r in known.items() if f[0] not in "^$" and " " not in f and r > 2.5}
+        self.core = np.sort(Tokens(sorted(core)).whole)
+
+    def may_decline(self, answers: list[str]) -> np.ndarray:
+        """Which answers hold a word that is much likelier in declining clauses; without one none scores enough."""
+        tokens = Tokens(answers)
+        out = np.zeros(len(answers), bool)
+        out[tokens.text_of[np.isin(tokens.whole, self.core)]] = True
+        return out
+
+    def score(self, words: list[str]) -> tuple[float, float]:
+        """How a clause scores as declining and as courteous, in the language that suits it best."""
+        total = np.full(len(MODELS), self.UNKNOWN * len(words))
+        for f in set(clause_features(words)):
+            if (r := self.table.get(f)) is not None:
+                total += r
+        for w in words:
+            a, b = self.table.get(w), self.table.get("^" + w[:5])
+            if a is not None or b is not None:
+                total -= self.UNKNOWN * ((0 if a is None else a != 0) | (0 if b is None else b != 0))
+        half = len(MODELS) // 2
+        return float(total[:half].max()), float(total[half:].max())
 
     def refuses(self, question: str | None, answer: str) -> bool:
         flat = answer.replace("’", "'")
-        if self.core.isdisjoint(normal(flat)) or (question and ASKS_FOR_REFUSAL.search(question)):
+        if question and ASKS_FOR_REFUSAL.search(question):
             return False
         declines, answered = False, 0
         for clause in self.CLAUSE.split(flat):
@@ -221,7 +247,7 @@ class Refusals:
             if not words:
                 continue
             quoted = clause.lstrip()[:1] in "“„«\""
-            declining, courteous = (self.score(words, name) for name in ("declining", "courteous"))
+            declining, courteous = self.score(words)
             if not quoted and declining >= self.LEAST and declining >= courteous:
                 declines = True
             elif courteous < self.LEAST and len(words) >= 4:
@@ -286,8 +312,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
             kind[cp] = 2
         elif ch.isalnum():
             kind[cp] = 1
-            small = "i" if ch == "İ" else ch.lower()
-            low[cp] = ord(small[0])
+            low[cp] = ord(fold(ch)[0])
     return kind, low
 
 
@@ -326,13 +351,29 @@ class Tokens:
             whole = np.empty(0, np.uint64)
         whole[kind == 2] = 1
         whole[kind == 3] = small[start[kind == 3]] * np.uint64(_Q) + np.uint64(7)
+        self.letters = kind == 1
+        if len(start):
+            begun = inside & (offset < 5)
+            begin = np.add.reduceat(np.where(begun, small * q[np.where(begun, offset, 0)], np.uint64(0)), start) if len(q) else whole
+        else:
+            begin = whole
         last = lambda n: sum(small[np.maximum(end - d, 0)] * _powers(8)[d] for d in range(1, n + 1))
         self.ending = np.where((kind == 1) & (size > 3), last(3) ^ np.uint64(0x5555), whole)
         self.frame = np.where((kind == 1) & (size > 4), np.uint64(3), whole)
-        self.whole, self.first = whole, first
+        self.begin, self.tail, self.size = begin ^ np.uint64(0x3333), last(4) ^ np.uint64(0x7777), size  # of words of more than five, or four, letters
+        self.apostrophe = (kind == 3) & np.isin(codes[start], (ord("'"), ord("’")))
+        self.whole = whole
         self.text_of = np.searchsorted(first, start, "right") - 1
         self.stop = (kind == 3) & np.isin(codes[start], [ord(c) for c in STOPS])
 
+    def features(self) -> np.ndarray:
+        """Hashes of all clause_features: words, their beginnings and endings, and neighbouring pairs."""
+        w = self.letters
+        row = np.flatnonzero(~self.apostrophe)
+        pair = self.letters[row[:-1]] & self.letters[row[1:]] & (self.text_of[row[:-1]] == self.text_of[row[1:]]) if len(row) else np.zeros(0, bool)
+        a, b = (self.whole[row[:-1][pair]], self.whole[row[1:][pair]]) if len(row) else (self.whole, self.whole)
+        return np.concatenate([self.whole[w], self.begin[w & (self.size > 5)], self.tail[w & (self.size > 4)], (a * np.uint64(_Q)) ^ (b + np.uint64(0x1111))])
+
     def contexts(self, at: np.ndarray) -> np.ndarray:
         """Keys of the contexts up to and including the tokens at, from general to special: its ending,
         the word itself, then its ending after the frames of two, four and seven tokens."""
@@ -440,15 +481,26 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def feature_hash(f: str) -> int:
+    """Of a feature of clause_features its hash among those of Tokens."""
+    if f[0] in "^$":
+        tokens = Tokens([f[1:]])
+        return int((tokens.begin if f[0] == "^" else tokens.tail)[0])
+    return int(Tokens([f]).features()[-1 if " " in f else 0])
+
+
 def fit_models(pairs: DataFrame) -> tuple[np.ndarray, dict[str, dict[str, int]]]:
-    """Trigram counts of the questions by language, and by language how many clauses of the answers hold each feature of the exemplars.
+    """Trigram counts of the questions by language, and by language how often the answers hold each feature of the exemplars.
 
     One pass; what reaches the driver is bounded by the alphabet and by the exemplars.
     """
     langs = ngram.LANGUAGES
-    features = {lang: {f: i for i, f in enumerate(sorted(exemplar_rates("declining", lang).keys() | exemplar_rates("courteous", lang).keys()))} for lang in langs}
+    features = {lang: sorted(exemplar_rates("declining", lang).keys() | exemplar_rates("courteous", lang).keys()) for lang in langs}
     starts = np.cumsum([ngram.SIZE * len(langs), *(len(features[lang]) + 1 for lang in langs)])  # trigrams, then each language's features and number of clauses
 
+    keys = {lang: np.array([feature_hash(f) for f in features[lang]], np.uint64) for lang in langs}
+    order = {lang: np.argsort(k) for lang, k in keys.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(starts[-1], np.int64)
         for batch in batches:
@@ -458,11 +510,13 @@ def fit_models(pairs: DataFrame) -> tuple[np.ndarray, dict[str, dict[str, int]]]
                 asked = "\n".join(questions[j] for j in own if questions[j])
                 if asked:
                     seen[i * ngram.SIZE : (i + 1) * ngram.SIZE] += np.bincount(ngram.trigrams(asked), minlength=ngram.SIZE)
-                place, part = features[lang], seen[starts[i] : starts[i + 1]]
-                for clause in Refusals.CLAUSE.split("\n".join(answers[j] for j in own if answers[j]).replace("’", "'")):
-                    part[-1] += 1
-                    for f in set(clause_features(normal(clause))).intersection(place):
-                        part[place[f]] += 1
+                said, part = [answers[j] for j in own if answers[j]], seen[starts[i] : starts[i + 1]]
+                for a, b in parts_of(said):
+                    tokens = Tokens(said[a:b])
+                    part[-1] += b - a + int(tokens.stop[:-1].sum())  # an answer's last stop ends its last clause
+                    known, made = keys[lang][order[lang]], tokens.features()
+                    at = np.minimum(np.searchsorted(known, made), len(known) - 1)
+                    part[:-1] += np.bincount(order[lang][at[known[at] == made]], minlength=len(known))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], names=["k", "n"])
 
@@ -477,8 +531,9 @@ def fit_models(pairs: DataFrame) -> tuple[np.ndarray, dict[str, dict[str, int]]]
 def judged(questions: list[str | None], answers: list[str | None], languages: Languages, refusals: Refusals) -> list[tuple[str | None, list[int] | None]]:
     """Of each pair its defect, or the contexts of its last word where only the likelihood of an end can tell."""
     out: list[tuple[str | None, list[int] | None]] = []
-    for q, a in zip(questions, answers, strict=True):
-        out.append(("empty" if is_empty(a) else "copied" if is_copied(q, a) else "refusal" if refusals.refuses(q, a) else None, None))
+    may = refusals.may_decline([a or "" for a in answers])
+    for q, a, m in zip(questions, answers, may, strict=True):
+        out.append(("empty" if is_empty(a) else "copied" if is_copied(q, a) else "refusal" if m and refusals.refuses(q, a) else None, None))
     rest = [i for i, (defect, _) in enumerate(out) if not defect]
     ends = []
     for i, wrong in zip(rest, languages.differ([questions[i] for i in rest], [answers[i] for i in rest]), strict=True):
@@ -499,10 +554,10 @@ def judged(questions: list[str | None], answers: list[str | None], languages: La
 def defective(pairs: DataFrame) -> DataFrame:
     """(record_id, answer_pos, defect) of the defective pairs."""
     counts, background = fit_models(pairs)
-    shared = pairs.sparkSession.sparkContext.broadcast((ngram.log_joint(counts), background))  # 4 MB at any input size
+    shared = pairs.sparkSession.sparkContext.broadcast((Languages(ngram.log_joint(counts)), Refusals(background)))  # 4 MB at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, refusals = Languages(shared.value[0]), Refusals(shared.value[1])
+        languages, refusals = shared.value
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(0)))
             questions, answers = batch.column(2).to_pylist(), batch.column(3).to_pylist()

@@ -58,6 +58,18 @@ def test_copies_against_brute_force(spark, partitions):
     assert rows(format_dedup.copy_pairs(df, partitions=partitions)) == brute_pairs(records)
     counts = {r["first_record_id"]: r["copies"] for r in format_dedup.representatives(df, partitions=partitions).collect()}
     assert sum(counts.values()) == sum(k is not None for k in format_dedup.canonical_keys([r[1] for r in records]))
+    lines = dict(records)
+    assert all(r["record"] == lines[r["first_record_id"]] for r in format_dedup.representatives(df, partitions=partitions).collect())
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_copies_without_id_are_counted(spark, partitions):
+    records = [(7, "Ab"), (None, "a b"), (None, "AB."), (None, "only"), (None, "ONLY"), (3, "x"), (None, None), (None, '{"cut')]
+    df = spark.createDataFrame(records * 3, "record_id long, raw_line string")
+    got = sorted((str(r["first_record_id"]), r["copies"], format_dedup.canonical_keys([r["record"]])[0]) for r in format_dedup.representatives(df, partitions=partitions).collect())
+    key = lambda x: format_dedup.canonical_keys([x])[0]
+    assert got == sorted([("7", 9, key("ab")), ("None", 6, key("only")), ("3", 3, key("x"))])
+    assert rows(format_dedup.copy_pairs(df, partitions=partitions)) == []
 
 
 def test_copies_of_nothing(spark):
@@ -593,6 +605,20 @@ def test_wrong_decodings_come_back(codec):
     assert repairer().text(garbled) == (text, True)
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 4])
+def test_wrong_again_and_again(times):
+    rng = random.Random(times)
+    for word in ("güneşli", "çağrışım", "Übergröße", "élève", "ılık", "“naïve”") * 8:
+        garbled = word
+        for _ in range(times):
+            raw = garbled.encode("utf-8")
+            try:
+                garbled = raw.decode(rng.choice(("cp1252", "latin-1", "cp1254", "cp1250")))
+            except UnicodeDecodeError:
+                garbled = raw.decode("latin-1")
+        assert mojibake.search(garbled)[0] == word
+
+
 def test_twice_wrong_and_legacy():
     text = "Ölçüt güçlü görünüyor"
     twice = text.encode().decode("cp1252").encode().decode("cp1252")
