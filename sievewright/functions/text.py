@@ -136,6 +136,13 @@ def national_id_valid(digits: Column) -> Column:
     return digits.rlike("^[1-9][0-9]{10}$") & (tenth == _digit(digits, 10)) & ((odd + even + _digit(digits, 10)) % 10 == _digit(digits, 11))
 
 
+def mobile_valid(digits: Column) -> Column:
+    """Ten digits from 5, with or without the country code or a leading zero."""
+    n = F.char_length(digits)
+    bare = F.when((n == 12) & digits.startswith("90"), F.substring(digits, 3, 10)).when((n == 11) & digits.startswith("0"), F.substring(digits, 2, 10)).otherwise(digits)
+    return bare.rlike("^5[0-9]{9}$")
+
+
 def iban_valid(iban: Column) -> Column:
     """Remainder 1 modulo 97 of a Turkish IBAN, digit by digit."""
     moved = F.concat(F.substring(iban, 5, 22), F.lit("2927"), F.substring(iban, 3, 2))
