@@ -67,7 +67,7 @@ def single_line(c: Column) -> Column:
 
 
 def storage_key(sha: Column) -> Column:
-    return F.concat_ws("/", F.lit("objects"), F.lit("sha256"), F.substring(sha, 1, 2), F.substring(sha, 3, 2), sha)
+    return F.concat(F.lit("objects/sha256/"), F.substring(sha, 1, 2), F.lit("/"), F.substring(sha, 3, 2), F.lit("/"), sha)
 
 
 def basis_points(part: Column, whole: Column) -> Column:
@@ -166,10 +166,12 @@ LITERAL_BITS, MATCH_BITS = 9, 25
 
 
 def lz77_permille_of(t: str | None) -> int | None:
-    """Size of a greedy sliding-window coding with fixed costs, per thousand."""
-    raw = (t or "").encode()
-    if not raw:
+    """Size in whole bytes of a greedy sliding-window coding with fixed costs, per thousand; 1000 for an empty text, null for none."""
+    if t is None:
         return None
+    raw = t.encode()
+    if not raw:
+        return 1000
     heads: dict[bytes, list[int]] = {}
     bits = i = 0
     while i < len(raw):
@@ -189,7 +191,7 @@ def lz77_permille_of(t: str | None) -> int | None:
             if len(own) > 4 * CHAIN:
                 del own[: 3 * CHAIN]
         i += step
-    return bits * 1000 // (8 * len(raw))
+    return -(-bits // 8) * 1000 // len(raw)
 
 
 @F.pandas_udf(LongType())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as T
 from sievewright.operators.dedup import signatures
 from sievewright.operators.review import CONTRIBUTIONS_SQL, contributions, revisions
-from sievewright.tables import once, table
+from sievewright.tables import once, positions, table
 
 
 def named(tests: dict[str, Column]) -> Column:
@@ -63,11 +63,10 @@ def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans matched to revisions of the same text, n-th to n-th."""
+    """Scans matched to revisions of the same text, n-th to n-th; a hot text is numbered by ranges."""
     r = revisions(spark, sf_dir).where("content_text is not null").select("revision_id", F.sha2("content_text", 256).alias("h"))
-    r = r.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("revision_id")))
     s = table(spark, sf_dir, "pii_scans").where("object_sha256 is not null").select("scan_id", F.col("object_sha256").alias("h"))
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("scan_id")))
+    r, s = positions(r, "h", ["revision_id"], "k"), positions(s, "h", ["scan_id"], "k")
     return s.join(r, ["h", "k"]).select("scan_id", "revision_id")
 
 

@@ -12,7 +12,8 @@ from sievewright.tables import spread, table, written
 
 NEAR, APPROXIMATE = 3, 10
 #: Signatures are cut into BLOCKS parts; two that differ in at most NEAR bits agree in BLOCKS - NEAR of them.
-BLOCKS = 5
+BLOCKS = 6
+ITEM_SIGNATURES = 1 << 20  # signatures of reference items in one block, 8 MB
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,43 +30,56 @@ def normalized_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each source whose text also occurs in sources outside its family.
 
-    Rows are first reduced to one a source and hash and the sources of each
-    hash are gathered as a set, so no pair of lines is ever formed.
+    Rows are first reduced to one a source and hash; hashes that occur in the
+    same set of sources are then one row with sums, so the pairs of a set are
+    formed once for all its texts, and never pairs of lines.
     """
     each = fingerprints(spark, sf_dir).groupBy("fingerprint_version", "normalized_sha256", "source_id").agg(F.count_distinct("source_ordinal").alias("lines"))
-    w = Window.partitionBy("fingerprint_version", "normalized_sha256")
+    sets = each.groupBy("fingerprint_version", "normalized_sha256").agg(F.sort_array(F.collect_list(F.struct("source_id", "lines"))).alias("s")).where(F.size("s") > 1)
+    tall = sets.select(F.transform("s", lambda x: x["source_id"]).alias("others"), F.explode("s").alias("x"))
+    sums = tall.groupBy("others", F.col("x.source_id").alias("source_id")).agg(F.sum("x.lines").alias("lines"))
     family = families(spark, sf_dir).groupBy("source_id").agg(F.collect_set("relative_id").alias("family"))  # sources, not lines
-    known = each.withColumn("others", F.collect_set("source_id").over(w)).where(F.size("others") > 1)
-    known = known.join(family, "source_id", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>")))
+    known = sums.join(family, "source_id", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>")))
     foreign = F.array_except("others", F.concat("family", F.array("source_id")))
-    hit = known.withColumn("foreign", foreign).where(F.size("foreign") > 0)
-    return hit.groupBy("source_id").agg(F.sum("lines").alias("lines"), F.size(F.array_distinct(F.flatten(F.collect_set("foreign")))).cast("long").alias("sources"))
+    hit = known.select("source_id", "lines", foreign.alias("foreign")).where(F.size("foreign") > 0)
+    lines = hit.groupBy("source_id").agg(F.sum("lines").alias("lines"))
+    sources = hit.select("source_id", F.explode("foreign").alias("other")).groupBy("source_id").agg(F.count_distinct("other").alias("sources"))
+    return lines.join(sources, "source_id").select("source_id", "lines", "sources")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derivation edges: the first source of a component is the parent of its others."""
     m = table(spark, sf_dir, "release_mixture").where(F.size("source_ids") > 1)
-    return m.select(F.col("source_ids")[0].alias("parent_id"), F.explode(F.slice("source_ids", 2, 1000)).alias("child_id")).where("parent_id <> child_id").distinct()
+    return m.select(F.col("source_ids")[0].alias("parent_id"), F.explode(F.slice("source_ids", F.lit(2), F.size("source_ids"))).alias("child_id")).where("parent_id <> child_id").distinct()
 
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source with its ancestors and descendants, by transitive closure."""
-    return closure(edges(spark, sf_dir))
+    """Each source with its ancestors, its descendants and the sources that share an ancestor with it."""
+    return relatives(edges(spark, sf_dir))
 
 
 def closure(e: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
-    """(source_id, relative_id) along any chain of edges, in both directions; cycles end."""
-    spark = e.sparkSession
-    e.select(F.col(parent).alias("parent_id"), F.col(child).alias("child_id")).createOrReplaceTempView("lineage_edges")
-    return spark.sql(
-        """WITH RECURSIVE up(source_id, relative_id, path) AS (
-             SELECT child_id, parent_id, array(child_id, parent_id) FROM lineage_edges UNION ALL
-             SELECT u.source_id, e.parent_id, array_append(u.path, e.parent_id)
-             FROM up u JOIN lineage_edges e ON u.relative_id = e.child_id WHERE NOT array_contains(u.path, e.parent_id))
-           SELECT DISTINCT source_id, relative_id
-           FROM (SELECT source_id, relative_id FROM up UNION ALL SELECT relative_id, source_id FROM up)
-           WHERE source_id <> relative_id"""
-    )
+    """(source_id, ancestor_id) along any chain of edges; cycles end.
+
+    Distinct pairs are joined with themselves until none is new, so a chain of
+    n edges takes about log2(n) rounds and a dense graph no more than its pairs.
+    """
+    up = written(e.select(F.col(child).alias("source_id"), F.col(parent).alias("ancestor_id")).where("source_id is not null and ancestor_id is not null").distinct(), "lineage")
+    n, before = up.count(), -1
+    while n != before:
+        longer = up.alias("a").join(up.alias("b"), F.col("a.ancestor_id") == F.col("b.source_id")).select("a.source_id", "b.ancestor_id")
+        up = written(up.unionByName(longer).distinct(), "lineage")
+        before, n = n, up.count()
+    return up
+
+
+def relatives(e: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+    """(source_id, relative_id): ancestors, descendants, and sources with a common ancestor."""
+    up = closure(e, parent, child)
+    own = up.select("source_id").union(up.select("ancestor_id")).distinct().select("source_id", F.col("source_id").alias("ancestor_id"))
+    every = up.unionByName(own)
+    pairs = every.alias("a").join(every.alias("b"), F.col("a.ancestor_id") == F.col("b.ancestor_id"))
+    return pairs.select("a.source_id", F.col("b.source_id").alias("relative_id")).where("source_id <> relative_id").distinct()
 
 
 def exact_file_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +128,8 @@ def simhash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_keys(signature: Column, blocks: int = BLOCKS, agree: int = BLOCKS - NEAR) -> Column:
     """Keys of all choices of agreeing blocks; complete for at most blocks - agree differing bits.
 
-    Two of five blocks make keys of about 25 bits, so buckets stay small at a
-    thousand times the data, unlike single blocks of 16 bits.
+    Three of six blocks make keys of about 32 bits, so a bucket holds a few
+    signatures even of ten billion, unlike single blocks of 16 bits.
     """
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     part = lambda i: F.shiftrightunsigned(signature, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
@@ -131,13 +145,18 @@ def near_pairs(sigs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return pairs.select(F.col("l.class_id").alias("left_id"), F.col("r.class_id").alias("right_id"), T.hamming(F.col("l.signature"), F.col("r.signature")).cast("long").alias("distance")).distinct()
 
 
+def revision_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all revisions, whose versions are near copies of each other."""
+    return table(spark, sf_dir, "document_revisions").select(F.col("revision_id").alias("doc_id"), F.col("content_text").alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+
+
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(signatures(table(spark, sf_dir, "documents"), "doc_id")).withColumn("points", T.similarity_points(F.col("distance")))
+    return near_pairs(written(signatures(revision_texts(spark, sf_dir), "doc_id"), "signatures")).withColumn("points", T.similarity_points(F.col("distance")))
 
 
-def near_duplicate_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with its signature class."""
-    sigs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")  # used twice, two columns
+def signature_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each revision with the class of equal signatures; near classes are pairs in near_duplicate_pairs."""
+    sigs = written(signatures(revision_texts(spark, sf_dir), "doc_id"), "signatures")  # used twice, two columns
     classes = sigs.groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return sigs.join(classes, "signature").select("doc_id", "class_id", "copies")
 
@@ -168,26 +187,76 @@ def greedy_resolution(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signature classes stay when later near copies are dropped in order."""
-    sigs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")
+    sigs = written(signatures(revision_texts(spark, sf_dir), "doc_id"), "signatures")
     nodes = sigs.groupBy("signature").agg(F.min("doc_id").alias("class_id"))
     return greedy_resolution(near_pairs(sigs), nodes)
 
 
-def approximate_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest evaluation item within ten bits that shares a block of eight bits.
+def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs within and across sources, by distance."""
+    source = table(spark, sf_dir, "document_revisions").select(F.col("revision_id").alias("doc_id"), "source_id").distinct()
+    side = lambda n: source.select(F.col("doc_id").alias(f"{n}_id"), F.col("source_id").alias(f"{n}_source"))
+    p = near_duplicate_pairs(spark, sf_dir).join(side("left"), "left_id").join(side("right"), "right_id")
+    return p.groupBy("distance", F.when(F.col("left_source").eqNullSafe(F.col("right_source")), "within").otherwise("across").alias("relation")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def closest_pairs(spark: SparkSession, sf_dir: str, size: int = 100) -> DataFrame:
+    """The closest pairs of classes, then the smaller ids: a top-k report that keeps size rows a task."""
+    return near_duplicate_pairs(spark, sf_dir).select("left_id", "right_id", "distance").orderBy("distance", "left_id", "right_id").limit(size)
 
-    The items are a stated query set, compared as distinct signatures.
+
+def nearest_items(signature_rows: DataFrame, items: DataFrame, key: str, most: int = APPROXIMATE) -> DataFrame:
+    """(signature, distance, item) of the nearest item within most bits that shares one of the eight bytes.
+
+    The items are a stated query set: their distinct signatures are compared as
+    numbers, block by block, with all signatures, which are never shuffled.
     """
-    cuts = range(0, 64, 8)
-    bands = lambda c: F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(c, i).bitwiseAND(F.lit(255)).alias("v")) for i in cuts))
-    items = signatures(table(spark, sf_dir, "eval_items"), "item_id").groupBy("signature").agg(F.min("item_id").alias("item_id"))
+    import numpy as np
+    import pyarrow as pa
+
+    spark = signature_rows.sparkSession
+    blocks, rows = [], items.groupBy("signature").agg(F.min(key).alias("item")).orderBy("item").toLocalIterator()
+    while block := [tuple(r) for _, r in zip(range(ITEM_SIGNATURES), rows, strict=False)]:
+        blocks.append(spark.sparkContext.broadcast((np.array([s for s, _ in block], np.int64), np.array([i for _, i in block], np.int64))))
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            best, item = np.full(len(own), 65, np.int64), np.zeros(len(own), np.int64)
+            for held in blocks:
+                known, ids = held.value
+                for a in range(0, len(own), max(1, (1 << 22) // len(known))):
+                    part = own[a : a + max(1, (1 << 22) // len(known))]
+                    x = (part[:, None] ^ known[None, :]).view(np.uint64)
+                    d = np.bitwise_count(x).astype(np.int64)
+                    d[~(x.view(np.uint8).reshape(*x.shape, 8) == 0).any(axis=2)] = 65
+                    at = d.argmin(axis=1)
+                    near = d[np.arange(len(part)), at]
+                    nearer = near < best[a : a + len(part)]  # items rise, so the first of equals stays
+                    best[a : a + len(part)][nearer], item[a : a + len(part)][nearer] = near[nearer], ids[at[nearer]]
+            some = np.flatnonzero(best <= most)
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(best[some]), pa.array(item[some])], names=["signature", "distance", "item"])
+
+    return signature_rows.select("signature").mapInArrow(run, "signature long, distance long, item long")
+
+
+def approximate_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest evaluation item of each document within ten bits that shares a block of eight bits."""
     docs = written(signatures(table(spark, sf_dir, "documents"), "doc_id"), "signatures")
-    distinct = docs.select("signature").distinct()
-    left = distinct.select(F.col("signature").alias("s"), F.explode(bands(F.col("signature"))).alias("band"))
-    right = items.select(F.col("signature").alias("t"), "item_id", F.explode(bands(F.col("signature"))).alias("band"))
-    close = left.join(right, "band").where(T.hamming(F.col("s"), F.col("t")) <= APPROXIMATE)
-    best = close.groupBy("s").agg(F.min(F.struct(T.hamming(F.col("s"), F.col("t")).alias("distance"), F.col("item_id"))).alias("m"))
-    return docs.join(best, F.col("signature") == F.col("s")).select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.distance").cast("long").alias("distance"))
+    best = nearest_items(docs.select("signature").distinct(), signatures(table(spark, sf_dir, "eval_items"), "item_id"), "item_id")
+    return docs.join(best, "signature").select("doc_id", F.col("item").alias("item_id"), "distance")
+
+
+def decontamination_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome for each source: blocked by an exact or a near match, passed, or not evaluated without references."""
+    references = table(spark, sf_dir, "eval_items").where(F.col("item_split").isin("eval", "holdout") & F.col("text").isNotNull())
+    have = references.agg(F.count(F.lit(1)).alias("refs"))
+    docs = table(spark, sf_dir, "documents").where("source is not null and text is not null").select("doc_id", "source")
+    exact = exact_decontamination(spark, sf_dir).select("doc_id", F.lit(1).alias("exact"))
+    near = approximate_decontamination(spark, sf_dir).select("doc_id", F.lit(1).alias("near"))
+    g = docs.join(exact, "doc_id", "left").join(near, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"), F.coalesce(F.sum("near"), F.lit(0)).alias("near"))
+    outcome = F.when(F.col("refs") == 0, "not_evaluated").when(F.col("exact") + F.col("near") > 0, "blocked").otherwise("passed")
+    return g.join(F.broadcast(have), F.lit(True)).select("source", "documents", "exact", "near", outcome.alias("outcome"))  # one row
 
 
 def corpus_pair_histogram(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
@@ -228,10 +297,19 @@ def _signature_sql(table_name: str, key: str) -> str:
 
 
 _SIG = _signature_sql("documents", "doc_id")
+_REVISIONS = "rv AS (SELECT DISTINCT ON (revision_id) revision_id AS doc_id, content_text AS text FROM document_revisions WHERE revision_id IS NOT NULL)"
+_RSIG = f"{_REVISIONS}, {_signature_sql('rv', 'doc_id')}"
+_NEAR = f"""{_RSIG}, c AS (SELECT signature, min(doc_id) AS class_id FROM s GROUP BY signature),
+    np AS (SELECT a.class_id AS left_id, b.class_id AS right_id, bit_count(xor(a.signature, b.signature))::BIGINT AS distance FROM c a JOIN c b ON a.class_id < b.class_id AND bit_count(xor(a.signature, b.signature)) <= 3)"""
 EDGES = "SELECT DISTINCT source_ids[1] AS parent_id, unnest(source_ids[2:]) AS child_id FROM release_mixture WHERE len(source_ids) > 1"
 FAMILY = f"""e AS (SELECT * FROM ({EDGES}) WHERE parent_id <> child_id),
-    up AS (SELECT child_id AS source_id, parent_id AS relative_id FROM e UNION SELECT u.source_id, e.parent_id FROM up u JOIN e ON u.relative_id = e.child_id),
-    fam AS (SELECT DISTINCT source_id, relative_id FROM (SELECT * FROM up UNION ALL SELECT relative_id, source_id FROM up) WHERE source_id <> relative_id)"""
+    up AS (SELECT child_id AS source_id, parent_id AS ancestor_id FROM e UNION SELECT u.source_id, e.parent_id FROM up u JOIN e ON u.ancestor_id = e.child_id),
+    al AS (SELECT source_id, ancestor_id FROM up UNION SELECT source_id, source_id FROM up UNION SELECT ancestor_id, ancestor_id FROM up),
+    fam AS (SELECT DISTINCT a.source_id, b.source_id AS relative_id FROM al a JOIN al b USING (ancestor_id) WHERE a.source_id <> b.source_id)"""
+_APPROXIMATE = f"""{_SIG}, {_signature_sql("eval_items", "item_id").replace("t AS (", "t2 AS (").replace("FROM t ", "FROM t2 ").replace("g AS (", "g2 AS (").replace("FROM g,", "FROM g2,").replace("b AS (", "b2 AS (").replace("FROM b GROUP", "FROM b2 GROUP").replace("    s AS (", "    s2 AS (")},
+    ap AS (SELECT s.doc_id, s2.item_id, bit_count(xor(s.signature, s2.signature))::BIGINT AS distance FROM s JOIN s2 ON bit_count(xor(s.signature, s2.signature)) <= 10
+      AND len(list_filter(range(8), lambda i: ((s.signature >> (i * 8)) & 255) = ((s2.signature >> (i * 8)) & 255))) > 0),
+    ar AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, item_id) AS k FROM ap)"""
 
 QUERIES = {
     "normalized_duplicates": (
@@ -261,21 +339,26 @@ QUERIES = {
     "exact_decontamination": (exact_decontamination, f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND sha256({P}) IN (SELECT sha256({P}) FROM eval_items)"),
     "simhash_md5": (simhash_md5, f"WITH {_SIG} SELECT doc_id, lpad(bin(signature), 64, '0') AS bits FROM s"),
     "simhash_blake2b": (simhash_blake2b, None),
-    "near_duplicate_pairs": (
-        near_duplicate_pairs,
-        f"""WITH {_SIG}, c AS (SELECT signature, min(doc_id) AS class_id FROM s GROUP BY signature)
-        SELECT a.class_id AS left_id, b.class_id AS right_id, bit_count(xor(a.signature, b.signature))::BIGINT AS distance, (((64 - bit_count(xor(a.signature, b.signature))) * 10000 + 32) // 64)::BIGINT AS points
-        FROM c a JOIN c b ON a.class_id < b.class_id AND bit_count(xor(a.signature, b.signature)) <= 3""",
+    "near_duplicate_pairs": (near_duplicate_pairs, f"WITH {_NEAR} SELECT left_id, right_id, distance, (((64 - distance) * 10000 + 32) // 64)::BIGINT AS points FROM np"),
+    "signature_classes": (signature_classes, f"WITH {_RSIG} SELECT doc_id, min(doc_id) OVER (PARTITION BY signature) AS class_id, count(*) OVER (PARTITION BY signature) AS copies FROM s"),
+    "near_duplicate_resolution": (
+        near_duplicate_resolution,
+        f"""WITH RECURSIVE {_NEAR}, nl AS (SELECT right_id AS id, list(left_id) AS lefts FROM np GROUP BY right_id), no AS (SELECT id, lefts, row_number() OVER (ORDER BY id) AS k FROM nl),
+        nr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS dropped UNION ALL SELECT nr.k + 1, CASE WHEN len(list_filter(no.lefts, lambda x: NOT list_contains(nr.dropped, x))) > 0 THEN list_append(nr.dropped, no.id) ELSE nr.dropped END FROM nr JOIN no ON no.k = nr.k + 1)
+        SELECT class_id, NOT list_contains((SELECT dropped FROM nr WHERE k = (SELECT max(k) FROM nr)), class_id) AS kept FROM c""",
+    ),
+    "near_duplicate_report": (
+        near_duplicate_report,
+        f"""WITH {_NEAR}, so AS (SELECT DISTINCT revision_id, source_id FROM document_revisions)
+        SELECT distance, CASE WHEN a.source_id IS NOT DISTINCT FROM b.source_id THEN 'within' ELSE 'across' END AS relation, count(*) AS pairs FROM np JOIN so a ON a.revision_id = left_id JOIN so b ON b.revision_id = right_id GROUP BY ALL""",
     ),
-    "near_duplicate_membership": (near_duplicate_membership, f"WITH {_SIG} SELECT doc_id, min(doc_id) OVER (PARTITION BY signature) AS class_id, count(*) OVER (PARTITION BY signature) AS copies FROM s"),
-    "near_duplicate_resolution": (near_duplicate_resolution, None),
-    "approximate_decontamination": (
-        approximate_decontamination,
-        f"""WITH {_SIG}, {_signature_sql("eval_items", "item_id").replace("t AS (", "t2 AS (").replace("FROM t ", "FROM t2 ").replace("g AS (", "g2 AS (").replace("FROM g,", "FROM g2,").replace("b AS (", "b2 AS (").replace("FROM b GROUP", "FROM b2 GROUP").replace("    s AS (", "    s2 AS (")},
-        c AS (SELECT s.doc_id, s2.item_id, bit_count(xor(s.signature, s2.signature))::BIGINT AS distance FROM s JOIN s2 ON bit_count(xor(s.signature, s2.signature)) <= 10
-          AND len(list_filter(range(8), lambda i: ((s.signature >> (i * 8)) & 255) = ((s2.signature >> (i * 8)) & 255))) > 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, item_id) AS k FROM c)
-        SELECT doc_id, item_id, distance FROM r WHERE k = 1""",
+    "closest_pairs": (closest_pairs, f"WITH {_NEAR} SELECT left_id, right_id, distance FROM np ORDER BY distance, left_id, right_id LIMIT 100"),
+    "approximate_decontamination": (approximate_decontamination, f"WITH {_APPROXIMATE} SELECT doc_id, item_id, distance FROM ar WHERE k = 1"),
+    "decontamination_gate": (
+        decontamination_gate,
+        f"""WITH {_APPROXIMATE}, n AS (SELECT count(*) AS refs FROM eval_items WHERE item_split IN ('eval', 'holdout') AND text IS NOT NULL),
+        x AS (SELECT source, count(*) AS documents, count(*) FILTER (sha256({P}) IN (SELECT sha256({P}) FROM eval_items WHERE item_split IN ('eval', 'holdout'))) AS exact, count(*) FILTER (doc_id IN (SELECT doc_id FROM ar)) AS near FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source)
+        SELECT source, documents, exact, near, CASE WHEN refs = 0 THEN 'not_evaluated' WHEN exact + near > 0 THEN 'blocked' ELSE 'passed' END AS outcome FROM x, n""",
     ),
     "corpus_pair_histogram": (corpus_pair_histogram, None),
     "threshold_sweep": (threshold_sweep, None),

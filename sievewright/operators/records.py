@@ -45,10 +45,16 @@ def line_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordinal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinals of each source that do not rise strictly or leave gaps."""
-    w = Window.partitionBy("source_id").orderBy("source_ordinal", "record_id")
-    d = table(spark, sf_dir, "source_lines").select("source_id", "source_ordinal", F.lag("source_ordinal").over(w).alias("before"))
-    return d.groupBy("source_id").agg(F.max("source_ordinal").alias("last_ordinal"), F.count_if(F.col("source_ordinal") <= F.col("before")).alias("repeated"), F.count_if(F.col("source_ordinal") > F.col("before") + 1).alias("gaps"))
+    """Last ordinal, repeated ordinals and gaps of each source.
+
+    A gap begins after an ordinal whose next is missing, found by a join on
+    (source, ordinal), so no task sees all rows of a hot source.
+    """
+    d = table(spark, sf_dir, "source_lines").where("source_ordinal is not null").groupBy("source_id", "source_ordinal").agg(F.count(F.lit(1)).alias("n"))
+    after = d.select(F.col("source_id").alias("_s"), (F.col("source_ordinal") - 1).alias("_o"))
+    j = d.join(after, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("source_ordinal") == F.col("_o")), "left")
+    g = j.groupBy("source_id").agg(F.max("source_ordinal").alias("last_ordinal"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if(F.col("_o").isNull()).alias("ends"))
+    return g.select("source_id", "last_ordinal", "repeated", (F.col("ends") - 1).alias("gaps"))
 
 
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,7 @@ def conversation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unknown_role": F.exists(m, lambda x: ~x["message_role"].isin("system", "user", "assistant", "tool")),
         "no_user": ~F.exists(m, lambda x: x["message_role"] == "user"),
         "no_answer": ~F.exists(m, lambda x: x["message_role"] == "assistant"),
-        "late_system": F.exists(F.slice(m, 2, 100000), lambda x: x["message_role"] == "system"),
+        "late_system": F.exists(F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(0))), lambda x: x["message_role"] == "system"),
         "call_without_result": F.size(F.array_except(calls, results)) > 0,
         "result_without_call": F.size(F.array_except(results, calls)) > 0,
         "blank_text": F.exists(m, lambda x: (F.trim(F.coalesce(x["content_text"], F.lit(""))) == "") & x["tool_call_id"].isNull()),

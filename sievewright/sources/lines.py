@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import json
+import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -15,6 +21,46 @@ DOCUMENT_SCHEMA = """doc_id string, text string, source_id string, source_ordina
 MAX_LINE_BYTES = 262144
 
 
+def bare_path(path: str) -> str:
+    """A path without its scheme, relative ones made whole."""
+    return re.sub("^[a-z0-9]+:/*(?=/)", "", path if "://" in path or path.startswith(("/", "file:")) else os.path.abspath(path))
+
+
+def file_path() -> Column:
+    """Whole path of a row's file as bare_path gives it, so that equal base names in two folders stay apart."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*(?=/)", "")
+
+
+def file_facts(spark: SparkSession, paths: list[str], chunk: int = 8 << 20) -> DataFrame:
+    """(path, length, sha256, line_feeds, utf8) of whole files of any size, each streamed by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+                digest, decoder, n, feeds, valid = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), 0, 0, True
+                with system.open_input_stream(place) as f:
+                    while part := f.read(chunk):
+                        digest.update(part)
+                        n, feeds = n + len(part), feeds + part.count(b"\n")
+                        try:
+                            decoder.decode(part)
+                        except UnicodeDecodeError:
+                            valid = False
+                try:
+                    decoder.decode(b"", final=True)
+                except UnicodeDecodeError:
+                    valid = False
+                rows.append((path, n, digest.hexdigest(), feeds, valid))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256", "line_feeds", "utf8"])
+
+    one_each = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return one_each.mapInPandas(run, "path string, length long, sha256 string, line_feeds long, utf8 boolean")
+
+
 def read_lines(spark: SparkSession, paths: list[str], max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """(file, source_ordinal, line, oversized) of text files, ordinals from 1 across the files in order.
 
@@ -22,9 +68,9 @@ def read_lines(spark: SparkSession, paths: list[str], max_bytes: int = MAX_LINE_
     the counts of the files before; blank lines take an ordinal; an oversized
     line (bytes with its line feed) has a null line.
     """
-    rank = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("file")]
+    rank = {bare_path(p): i for i, p in enumerate(paths)}
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("path")]
     raw = raw.withColumn("file_no", place)
     # Rows of one block come in order from one task; counts by block are few, so numbering needs no global sort of lines.
     w = Window.partitionBy("file_no", "block").orderBy("row")
@@ -111,20 +157,26 @@ def read_shards(spark: SparkSession, paths: list[str], columns: list[str], schem
 
 def verify_manifest(spark: SparkSession, manifest: list[dict], ordinal: str = "source_ordinal") -> DataFrame:
     """Problems of each shard: size, hash, rows and strictly rising ordinals against its manifest entry."""
-    expected = spark.createDataFrame([(m["path"], m["bytes"], m["sha256"], m["rows"], m["first"], m["last"]) for m in manifest], "path string, bytes long, sha256 string, rows long, first long, last long")
-    name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").load([m["path"] for m in manifest]).select(name.alias("file"), "length", F.sha2("content", 256).alias("sha"))
-    rows = spark.read.parquet(*[m["path"] for m in manifest]).select(F.col("_metadata.file_name").alias("file"), F.col(ordinal).alias("o"))
-    per = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o").alias("d"), F.min("o").alias("lo"), F.max("o").alias("hi"))
-    j = expected.withColumn("file", name).join(files, "file", "left").join(per, "file", "left")
-    tests = {"missing": F.col("length").isNull(), "size": F.col("length") != F.col("bytes"), "hash": F.col("sha") != F.col("sha256"), "rows": F.col("n") != F.col("rows"), "ordinals": (F.col("d") != F.col("n")) | (F.col("lo") != F.col("first")) | (F.col("hi") != F.col("last"))}
+    paths = [m["path"] for m in manifest]
+    expected = spark.createDataFrame([(m["path"], bare_path(m["path"]), m["bytes"], m["sha256"], m["rows"], m["first"], m["last"]) for m in manifest], "path string, file string, bytes long, sha256 string, rows long, first long, last long")
+    here = [p for p in paths if _exists(spark, p)]
+    files = file_facts(spark, here).select("path", "length", F.col("sha256").alias("sha")) if here else spark.createDataFrame([], "path string, length long, sha string")
+    rows = spark.read.parquet(*here).select(file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col(ordinal).alias("o")) if here else spark.createDataFrame([], "file string, block long, row long, o long")
+    rising = F.col("o") > F.lag("o").over(Window.partitionBy("file").orderBy("block", "row"))  # rows of one shard, whose size its writer bounds
+    per = rows.withColumn("rising", F.coalesce(rising, F.lit(True))).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.bool_and("rising").alias("rising"), F.min("o").alias("lo"), F.max("o").alias("hi"))
+    j = expected.join(files, "path", "left").join(per, "file", "left")
+    tests = {"missing": F.col("length").isNull(), "size": F.col("length") != F.col("bytes"), "hash": F.col("sha") != F.col("sha256"), "rows": F.col("n") != F.col("rows"), "ordinals": ~F.col("rising") | (F.col("lo") != F.col("first")) | (F.col("hi") != F.col("last"))}
     return j.select("path", F.array_join(F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull()), "|").alias("problems"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ingest_report(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Hash, bytes, line feeds and UTF-8 validity of whole files."""
-    c = F.col("content")
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2(c, 256).alias("sha256"), "length", F.regexp_count(F.decode(c, "ISO-8859-1"), F.lit("\n")).alias("line_feeds"), F.call_function("is_valid_utf8", c.cast("string")).alias("utf8"))
+    return file_facts(spark, paths)
 
 
 def write_shards(docs: DataFrame, path: str, rows: int = 100_000) -> None:

@@ -30,12 +30,14 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a local folder is set.
+    The cluster names it in spark.checkpoint.dir; only where that is unset and
+    everything runs on one machine (tests) a local folder is set.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -45,13 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once and read back from the shared folder.
 
-    Cuts lineage without depending on any executor's memory or disk.
+    Cuts lineage without depending on any executor's memory or disk. The table
+    stays until clear() or until the shared folder is cleared.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once a row.
 

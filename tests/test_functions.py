@@ -100,8 +100,70 @@ def test_greedy_resolution(spark):
 
 def test_closure_with_cycle(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent_id string, child_id string")
-    got = {tuple(r) for r in dedup.closure(e).collect()}
+    got = {tuple(r) for r in dedup.relatives(e).collect()}
     assert got == {(p, q) for p in "abc" for q in "abc" if p != q} | {("x", "y"), ("y", "x")}
+    assert {tuple(r) for r in dedup.closure(e).where("source_id = 'y'").collect()} == {("y", "x")}
+
+
+def test_relatives_share_an_ancestor(spark):
+    e = spark.createDataFrame([("root", "a"), ("root", "b"), ("a", "c"), ("far", "d"), (None, "z")], "parent_id string, child_id string")
+    got = {tuple(r) for r in dedup.relatives(e).collect()}
+    family = {"root", "a", "b", "c"}
+    assert got == {(p, q) for p in family for q in family if p != q} | {("far", "d"), ("d", "far")}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)], "parent_id string, child_id string")
+    assert dedup.closure(chain).count() == 40 * 41 // 2
+
+
+def test_all_children_are_edges(spark, tmp_path):
+    spark.createDataFrame([("r", [f"s{i}" for i in range(1002)])], "release_id string, source_ids array<string>").write.parquet(str(tmp_path / "release_mixture.parquet"))
+    assert dedup.edges(spark, str(tmp_path)).count() == 1001
+
+
+def test_late_system_message_at_any_place(spark, tmp_path):
+    from sievewright.operators import records
+
+    message = lambda role: (role, "x", None)
+    talk = [message("user"), *[message("assistant")] * 100_001, message("system")]
+    schema = "sample_id string, messages array<struct<message_role string, content_text string, tool_call_id string>>"
+    spark.createDataFrame([("a", talk), ("b", []), ("c", None), ("d", talk[:3])], schema).write.parquet(str(tmp_path / "canonical_conversations.parquet"))
+    got = {r["sample_id"]: r["errors"] for r in records.conversation_errors(spark, str(tmp_path)).collect()}
+    assert got["a"] == "late_system" and got["d"] == "" and "no_messages" in got["b"]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from sievewright import tables
+
+    conf = SimpleNamespace(get=lambda *a: "")
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_nearest_items_against_plain_search(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [rng.getrandbits(63) for _ in range(40)]
+    sigs = [x ^ sum(1 << k for k in rng.sample(range(63), rng.randint(0, 14))) for x in items for _ in range(5)]
+    monkeypatch.setattr(dedup, "ITEM_SIGNATURES", 16)
+    a = spark.createDataFrame([(s,) for s in sigs], "signature long")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, signature long")
+    got = {r["signature"]: (r["distance"], r["item"]) for r in dedup.nearest_items(a, b, "item_id").collect()}
+    want = {}
+    for s in sigs:
+        close = [((s ^ x).bit_count(), i) for i, x in enumerate(items) if (s ^ x).bit_count() <= 10 and any(((s ^ x) >> (8 * k)) & 255 == 0 for k in range(8))]
+        if close:
+            want[s] = min(close)
+    assert got == want
+
+
+def test_exact_decontamination_finds_planted_items(spark, tmp_path):
+    items = [(1, "Bir DENEME  metni", "eval"), (2, "baska", "train"), (3, None, "eval")]
+    docs = [(7, "bir deneme\nmetni", "s"), (8, "BASKA", "s"), (9, "bir deneme metni x", "t"), (10, None, "t")]
+    spark.createDataFrame(items, "item_id long, text string, item_split string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["doc_id"] for r in dedup.exact_decontamination(spark, str(tmp_path)).collect()] == [7]
+    assert {r["source"]: (r["outcome"], r["exact"]) for r in dedup.decontamination_gate(spark, str(tmp_path)).collect()} == {"s": ("blocked", 1), "t": ("passed", 0)}
 
 
 @settings(max_examples=60, deadline=None)
@@ -113,8 +175,8 @@ def test_pack_text(text, limit):
 
 
 def test_lz77():
-    assert T.lz77_permille_of("") is None
-    assert T.lz77_permille_of("abcdefghijkl") == 9 * 1000 // 8
+    assert T.lz77_permille_of("") == 1000 and T.lz77_permille_of(None) is None
+    assert T.lz77_permille_of("abcdefghijkl") == 14 * 1000 // 12  # 108 bits are 14 bytes
     assert T.lz77_permille_of("abcd" * 500) < 100
 
 
