@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import stats as S
 from sievewright.functions import text as T
-from sievewright.tables import table
+from sievewright.tables import once, positions, table
 
 SEED = "2026"
+#: Addresses, account and personal numbers, as Java's engine and RE2 read alike.
+IDENTIFIER = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}|\b[Tt][Rr][0-9]{24}\b|(?:^|[^0-9])[0-9]{11}(?:[^0-9]|$)"
 
 
 def round9(c: Column) -> Column:
@@ -72,26 +74,57 @@ def reservoir_sample(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFr
 
 
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons and capped score of each document."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", T.tokens(T.profile_text(F.col("text"))).alias("w"))
-    n = F.char_length("text")
+    """Reasons and capped score of each line, of its text and of its form."""
+    lines = table(spark, sf_dir, "source_lines").where("raw_line is not null").select("record_id", "raw_line")
+    field = lambda k: F.nullif(F.trim(F.get_json_object("raw_line", f"$.{k}")), F.lit(""))
+    is_json = F.ltrim("raw_line").startswith("{")
+    d = once(lines, "m", F.struct(F.when(is_json, F.try_parse_json("raw_line").isNotNull()).alias("parsed"), F.when(is_json, F.coalesce(field("text"), field("content"), field("body"))).alias("body")))
+    d = once(d.select("record_id", F.col("m.parsed").alias("parsed"), F.col("m.body").alias("body"), F.coalesce("m.body", "raw_line").alias("text")), "w", F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0))
+    text, n = F.col("text"), F.char_length("text")
     symbols = F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]"))
     reasons = [
-        ("short", 2, n < 24),
-        ("long", 1, n > 4000),
-        ("control", 3, F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")),
-        ("symbols", 2, (n >= 40) & (symbols * 100 > n * 35)),
-        ("repetitive", 2, (F.size("w") >= 20) & (F.size(F.array_distinct("w")) * 4 < F.size("w"))),
-        ("identifier", 3, F.col("text").rlike(r"[0-9]{11}")),
-        ("malformed_json", 2, F.col("text").startswith("{") & ~F.col("text").rlike(r"\}\s*$")),
+        ("short_text", 1, n < 24),
+        ("long_text", 2, n > 4000),
+        ("control_characters", 3, text.rlike(r"[\x00-\x08\x0e-\x1b\x7f-\x{0084}\x{0086}-\x{009f}\p{Cf}]")),
+        ("high_symbol_ratio", 2, (n >= 40) & (symbols * 100 > n * 35)),
+        ("repeated_character_run", 2, text.rlike(r"(?s)(.)\1{7,}")),
+        ("low_lexical_diversity", 2, (F.size("w") >= 20) & (F.size(F.array_distinct("w")) * 4 < F.size("w"))),
+        ("identifier_pattern", 3, text.rlike(IDENTIFIER)),
+        ("malformed_json", 2, F.coalesce(~F.col("parsed"), F.lit(False))),
+        ("missing_text_field", 2, F.coalesce(F.col("parsed") & F.col("body").isNull(), F.lit(False))),
     ]
     named = F.filter(F.array(*(F.when(test, F.lit(name)) for name, _, test in reasons)), lambda x: x.isNotNull())
     score = sum((F.when(test, points).otherwise(0) for _, points, test in reasons), F.lit(0))
-    return d.select("doc_id", F.array_join(named, "|").alias("reasons"), F.least(score, F.lit(10)).cast("long").alias("score"))
+    return d.select("record_id", F.array_join(named, "|").alias("reasons"), F.least(score, F.lit(10)).cast("long").alias("score"))
 
 
-def risk_top_k(spark: SparkSession, sf_dir: str, size: int = 25) -> DataFrame:
-    return risk_score(spark, sf_dir).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(size)
+def risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by risk reason."""
+    d = risk_score(spark, sf_dir).select("score", F.explode(F.split("reasons", "\\|")).alias("reason")).where("reason <> ''")
+    return d.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), F.max("score").alias("highest"))
+
+
+def line_key() -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(SEED), F.col("record_id").cast("string")), 256)
+
+
+def risk_top_k(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
+    """The riskiest lines, up to half of a sample (a sampling operator), equal scores in the order of a seeded hash."""
+    return risk_score(spark, sf_dir).where("score > 0").select("*", line_key().alias("k")).orderBy(F.desc("score"), F.desc("k"), F.desc("record_id")).limit(max(1, size // 2)).drop("k")
+
+
+def combined_sample(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
+    """A sample of the riskiest lines, filled up with others in the order of a seeded hash (a sampling operator)."""
+    risky = risk_top_k(spark, sf_dir, size).select("record_id", F.lit("risk").alias("part"))
+    others = table(spark, sf_dir, "source_lines").where("raw_line is not null").select("record_id", line_key().alias("k")).orderBy("k", "record_id").limit(size + size // 2)  # enough, as at most half of them are risky
+    fill = others.join(risky, "record_id", "left_anti").orderBy("k", "record_id").limit(size - size // 2).select("record_id", F.lit("fill").alias("part"))
+    return risky.unionByName(fill)
+
+
+def mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans of two versions in one blind order by a seeded hash, numbered within hash ranges so that none is sorted whole."""
+    s = table(spark, sf_dir, "pii_scans").where("object_sha256 is not null").select("scan_id", "scanner_version", F.sha2(F.concat_ws(":", F.lit(SEED), "scan_id"), 256).alias("k"))
+    return positions(s.withColumn("all", F.lit(1)), "all", ["k", "scan_id"], "no").select("no", "scan_id", "scanner_version")
 
 
 def keyset_page(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
@@ -228,10 +261,17 @@ def excluded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 REV = "r AS (SELECT DISTINCT * FROM document_revisions)"
 SCANS = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_sha256, scanner_version ORDER BY scanned_at DESC NULLS LAST, scan_id DESC) AS k, count(*) OVER (PARTITION BY object_sha256, scanner_version) AS scans FROM pii_scans WHERE object_sha256 IS NOT NULL) WHERE k = 1)"
 PT = T.PROFILE_SQL.format("text")
-RISK_SQL = f"""WITH d AS (SELECT doc_id, text, length(text) AS n, regexp_extract_all({PT}, '[\\p{{L}}\\p{{N}}_]+') AS w, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\t\\n\\f\\r\\x0b ]')) AS y FROM documents WHERE text IS NOT NULL),
-    f AS (SELECT doc_id, n < 24 AS a, n > 4000 AS b, regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS c, n >= 40 AND y * 100 > n * 35 AS d, len(w) >= 20 AND len(list_distinct(w)) * 4 < len(w) AS e, regexp_matches(text, '[0-9]{{11}}') AS g, starts_with(text, '{{') AND NOT regexp_matches(text, '\\}}\\s*$') AS h FROM d)
-    SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'short' END, CASE WHEN b THEN 'long' END, CASE WHEN c THEN 'control' END, CASE WHEN d THEN 'symbols' END, CASE WHEN e THEN 'repetitive' END, CASE WHEN g THEN 'identifier' END, CASE WHEN h THEN 'malformed_json' END) AS reasons,
-      least(10, 2*a::INT + b::INT + 3*c::INT + 2*d::INT + 2*e::INT + 3*g::INT + 2*h::INT)::BIGINT AS score FROM f"""
+_BODY = "coalesce(" + ", ".join(f"nullif(trim(json_extract_string(j, '$.{k}'), ' '), '')" for k in ("text", "content", "body")) + ")"
+RISK_SQL = f"""WITH l AS (SELECT record_id, raw_line, starts_with(ltrim(raw_line, ' '), '{{') AS o, CASE WHEN starts_with(ltrim(raw_line, ' '), '{{') AND json_valid(raw_line) THEN raw_line END AS j FROM source_lines WHERE raw_line IS NOT NULL),
+    d AS (SELECT record_id, o, j, {_BODY} AS body, coalesce({_BODY}, raw_line) AS text FROM l),
+    e AS (SELECT *, length(text) AS n, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\t\\n\\f\\r\\x0b ]')) AS y FROM d),
+    f AS (SELECT record_id, n < 24 AS a, n > 4000 AS b, regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x{{0084}}\\x{{0086}}-\\x{{009f}}\\p{{Cf}}]') AS c, n >= 40 AND y * 100 > n * 35 AS d, len(list_filter(range(1, n - 6), lambda i: substr(text, i, 8) = repeat(substr(text, i, 1), 8))) > 0 AS r,
+      len(w) >= 20 AND len(list_distinct(w)) * 4 < len(w) AS e, regexp_matches(text, '{IDENTIFIER}') AS g, o AND j IS NULL AS h, j IS NOT NULL AND body IS NULL AS m FROM e)
+    SELECT record_id, concat_ws('|', CASE WHEN a THEN 'short_text' END, CASE WHEN b THEN 'long_text' END, CASE WHEN c THEN 'control_characters' END, CASE WHEN d THEN 'high_symbol_ratio' END, CASE WHEN r THEN 'repeated_character_run' END, CASE WHEN e THEN 'low_lexical_diversity' END,
+      CASE WHEN g THEN 'identifier_pattern' END, CASE WHEN h THEN 'malformed_json' END, CASE WHEN m THEN 'missing_text_field' END) AS reasons,
+      least(10, a::INT + 2*b::INT + 3*c::INT + 2*d::INT + 2*r::INT + 2*e::INT + 3*g::INT + 2*h::INT + 2*m::INT)::BIGINT AS score FROM f"""
+_KEY = "sha256('2026:' || record_id)"
+_TOP = f"(SELECT record_id, reasons, score FROM ({RISK_SQL}) WHERE score > 0 ORDER BY score DESC, {_KEY} DESC, record_id DESC LIMIT 25)"
 STRATA_SQL = f"""WITH {REV}, g AS (SELECT coalesce(nullif(edit_reason, ''), 'none') AS stratum, count(*) AS records, coalesce(sum(length(content_text)), 0)::BIGINT AS chars, count(*) FILTER (word_count = 0) AS mistakes FROM r GROUP BY 1)
     SELECT stratum, records, chars, mistakes, round(mistakes / records::DOUBLE, 9) AS rate, round({S.WILSON_LOW.format(k="mistakes", n="records")}, 9) AS low, round({S.WILSON_HIGH.format(k="mistakes", n="records")}, 9) AS high FROM g"""
 _DIMS = ["source_type", "license_id", "rights_status", "source_language", "media_type"]
@@ -248,7 +288,13 @@ QUERIES = {
     ),
     "reservoir_sample": (reservoir_sample, None),
     "risk_score": (risk_score, RISK_SQL),
-    "risk_top_k": (risk_top_k, f"SELECT * FROM ({RISK_SQL}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25"),
+    "risk_top_k": (risk_top_k, f"SELECT * FROM {_TOP}"),
+    "risk_reasons": (risk_reasons, f"WITH x AS (SELECT score, unnest(string_split(reasons, '|')) AS reason FROM ({RISK_SQL})) SELECT reason, count(*) AS lines, max(score) AS highest FROM x WHERE reason <> '' GROUP BY reason"),
+    "combined_sample": (
+        combined_sample,
+        f"WITH t AS {_TOP} SELECT record_id, 'risk' AS part FROM t UNION ALL SELECT * FROM (SELECT record_id, 'fill' FROM source_lines WHERE raw_line IS NOT NULL AND record_id NOT IN (SELECT record_id FROM t) ORDER BY {_KEY}, record_id LIMIT 25)",
+    ),
+    "mixed_runs": (mixed_runs, "SELECT row_number() OVER (ORDER BY sha256('2026:' || scan_id), scan_id) AS no, scan_id, scanner_version FROM pii_scans WHERE object_sha256 IS NOT NULL"),
     "keyset_page": (keyset_page, "SELECT doc_id, ingested_at FROM documents WHERE ingested_at < TIMESTAMP '2026-06-01' OR (ingested_at = TIMESTAMP '2026-06-01' AND doc_id < 1000) ORDER BY ingested_at DESC, doc_id DESC LIMIT 20"),
     "latest_scan": (latest_scan, f"WITH {SCANS} SELECT object_sha256, scanner_version, scan_id, scan_status, findings, scans FROM s"),
     "latest_per_type": (latest_per_type, "SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),

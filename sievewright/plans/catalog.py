@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.operators import candidates, checks, dedup, identity, pages, records, relational, review
+from sievewright.operators import candidates, checks, dedup, evidence, identity, pages, records, relational, review
 from sievewright.streaming import events
 
-MODULES = (candidates, checks, identity, dedup, review, records, relational, pages, events)
+MODULES = (candidates, checks, evidence, identity, dedup, review, records, relational, pages, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
