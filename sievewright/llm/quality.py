@@ -231,7 +231,7 @@ class Counted:
         tight = per_line((k == COMMA) & (before == QUOTE) & (after == QUOTE))
         line_chars = np.bincount(line_of[seen], minlength=lines)
         legible = (per_line(word) >= 0.4 * line_chars) | (per_line((k == PIPE) | (k == DASH) | (k == COLON)) == line_chars)
-        fielded = (tabs > 0) | (pipes >= 2) | (gaps >= 2) | (tight >= 1) | ((semis >= 2) & (numbers > 0)) | ((labels >= 1) & (numbers > 0) & (nwords <= 6))
+        fielded = ((tabs > 0) & (tabs * 8 >= nwords)) | (pipes >= 2) | ((gaps >= 2) & (gaps * 4 >= nwords)) | (tight >= 1) | ((semis >= 2) & (numbers > 0) & (semis * 4 >= nwords)) | ((labels >= 1) & (numbers > 0) & (nwords <= 6))
         fielded &= legible
         strung = (semis + commas + slashes + bullets + pipes) * 2.6 >= nwords
         strung &= (semis + commas + slashes + bullets + pipes >= 3) & ~ended
