@@ -62,9 +62,9 @@ PHONE = re.compile(
 )
 #: Numbers of other countries: with a country code after + or 00, or in the national form of France, Germany, Britain and North America.
 OTHER_PHONE = re.compile(
-    r"(?<![\w+])(?<!\d[-./])(?:"
+    r"(?<![\w+])(?<!\d[-./ ])(?<![\da-f]{2} )(?:"
     r"(?:\+|00[ .-]?)(?!90)[1-9]\d{0,2}(?:[ .-]?\(0?\d{0,4}\))?(?:[ .-/]?\d){6,12}"
-    r"|(?<![\da-f]{2} )0[1-9](?:[ .]\d\d){4}(?! [\da-f]{2}\b)"
+    r"|0[1-9](?:[ .]\d\d){4}(?! [\da-f]{2}\b)"
     r"|\(0\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d){3,5}"
     r"|0(?:1[5-7]\d|20|30|40|69|89|1\d{3}|7\d{3})[ /-]\d{3,4}[ -]?\d{3,5}"
     r"|(?:1[ .-])?\([2-9]\d{2}\)[ .-]?[2-9]\d{2}[ .-]\d{4}"

@@ -290,6 +290,7 @@ def test_unseen_word_takes_no_counts_of_another(spark):
         ("Tel. +49 30 1234567 oder (212) 555-0123", ["phone", "phone"]),
         ("Appelez le 01 23 45 67 89", ["phone"]),
         ("d7 3a 01 23 45 67 89 f6", []),
+        ("Barkod 9938 0080 8350 3721 okunamadı", []),
         ("", []),
     ],
 )
