@@ -115,3 +115,31 @@ def test_resolution_of_a_long_chain(spark):
     small = pairs.where("left_id < 70"), nodes.where("class_id <= 70")
     kept = {r["class_id"]: r["kept"] for r in dedup.greedy_resolution(*small).collect()}
     assert kept == {i: i % 2 == 0 for i in range(71)}
+
+
+def policy_texts():
+    prose = ". ".join(" ".join(f"kelime{i}{j} ve bir için" for j in range(6)) for i in range(260)) + "."
+    spread_terms = lambda terms, text: text.replace(". kelime", ". " + " ".join(terms) + " kelime", 14)
+    dating = spread_terms("arkadaş sohbet tanış partner hemen ücretsiz tıkla".split(), prose)
+    return {
+        1: "temiz bir metin ve bir sonu var ama son harf kayıp �", 2: "� " + "uzun " * 40, 3: "ka�ip bir harf", 4: "iki � ve bir daha �",
+        5: dating, 6: " ".join("arkadaş sohbet tanış partner hemen ücretsiz tıkla".split() * 30) + " " + " ".join(filler(70, 1000)),
+        7: "{{bilgi}} kısa", 8: prose + " [[bağ|bağlantı]]", 9: prose + " {{x}} hemen ara hemen tıkla whatsapp bizi arayın", 10: mixed(16, 1000, "arkadaş sohbet tanış partner".split() + PROMO[:3], 4),
+        11: ". ".join([" ".join(filler(20, 12))] * 200) + ". " + " ".join(filler(21, 100)),
+    }
+
+
+def test_third_policy_against_sql(spark, tmp_path):
+    from sievewright.operators import policies
+
+    pd.DataFrame(list(policy_texts().items()), columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = {r[0]: r[1:] for r in duck.sql(f"select doc_id, v2, v3, signals from ({policies.V3_SQL})").fetchall()}
+    got = {r["doc_id"]: (r["v2"], r["v3"], r["signals"]) for r in policies.quality_rules_v3(spark, str(tmp_path)).collect()}
+    assert "extreme_repetition" in got.pop(11)[1]
+    want.pop(11, None)
+    assert got == want
+    assert got[1][1] == "" and all("encoding_corruption" in got[k][1] for k in (2, 3, 4))
+    assert "dating_cluster" in got[5][0] and got[5][1] == "" and "dating_cluster" in got[6][1] and "dating_cluster" in got[10][1]
+    assert got[7][1] == "wiki_markup_residue" and got[8][1] == "" and got[9][1] == "wiki_markup_residue"
