@@ -143,3 +143,32 @@ def test_third_policy_against_sql(spark, tmp_path):
     assert got[1][1] == "" and all("encoding_corruption" in got[k][1] for k in (2, 3, 4))
     assert "dating_cluster" in got[5][0] and got[5][1] == "" and "dating_cluster" in got[6][1] and "dating_cluster" in got[10][1]
     assert got[7][1] == "wiki_markup_residue" and got[8][1] == "" and got[9][1] == "wiki_markup_residue"
+
+
+def page_texts():
+    words = " ".join(filler(80, 120))
+    calque = " ".join(["olduğundan sahiptir bunları"] * 2)
+    return [
+        (1, "Kargo bedava! Fiyat: 120 ve 27,99 TL", None), (2, "Yalnız bir kez 199 ₺ geçti", None), (3, "firmamız 100 lira verdi", None), (4, "Ana Sayfa > Ürünler ve firmamız", None), (5, "Ümraniye Usta Elektrikçi " * 6 + words, None),
+        (6, "Sponsorlu içerik burada", None), (7, "sponsorluğunu üstlendi", None), (11, words + " " + calque, None), (12, words, "https://tr.ornek.com/x"), (13, words + " ise diye hep yana", "https://tr.ornek.com/x"), (14, words, "https://tr.wikipedia.org/wiki/x"),
+        (15, words, "https://www.ornek.de/sayfa"), (16, words, "https://ornek.com/tr-tr/sayfa"), (17, words, "https://ornek.io/?lang=tr"), (18, "Kısa. Bu, çok kısa.", "https://ornek.fr/a"), (19, "Bu, bir başka " + words + " sahiptir", None), (20, "кот ve " + words + " ise diye", "https://ornek.ru/"), (21, "", None),
+    ]
+
+
+def test_fourth_policy_against_sql(spark, tmp_path):
+    from sievewright.operators import pages
+
+    pd.DataFrame(page_texts(), columns=["doc_id", "text", "url"]).to_parquet(tmp_path / "documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    for name in ("commercial_pages", "translated_pages"):
+        run, sql = pages.QUERIES[name]
+        df = run(spark, str(tmp_path))
+        rows = sorted(tuple(r) for r in df.collect())
+        assert rows == sorted(duck.sql(f"select {', '.join(df.columns)} from ({sql})").fetchall())
+        got = {r[0]: r[1:] for r in rows}
+        if name == "commercial_pages":
+            assert {k for k, v in got.items() if v[1]} == {1, 4, 6} and got[5][0] == "title_repeat" and got[7][0] == ""
+        else:
+            assert {k for k, v in got.items() if v[1]} == {11, 12, 15, 16, 17, 18, 19, 20}
+            assert "foreign_cctld" in got[15][0] and "path_tr" in got[16][0] and "path_tr" in got[17][0] and "bu_comma" in got[18][0]
