@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.tables import table
+from sievewright.operators.dedup import NEAR, block_keys, greedy_resolution, near_pairs
+from sievewright.tables import table, written
 
 LATE = "10 minutes"
 
@@ -45,9 +46,61 @@ def keep_latest(spark: SparkSession, path: str, key: str, order: str) -> Callabl
     return write
 
 
-def run_available(frame: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there, then stop."""
-    frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_available(frame: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Process what is there, then stop; rows go to Parquet under path, never to the driver.
+
+    Appended rows gather; in other modes each batch has its own folder, which a
+    repeated batch overwrites, and the last folder holds the whole result.
+    """
+    out = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        out = out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch_id={n}"))
+    out.start().awaitTermination()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def near_duplicate_state(spark: SparkSession, path: str, id_col: str = "doc_id") -> Callable[[DataFrame, int], None]:
+    """Writer for foreachBatch over (id, signature): keeps what is near nothing kept before.
+
+    A batch is resolved by itself in id order after what is near an earlier
+    survivor has gone; survivors are one folder a batch, so a repeated batch
+    gives the same folder again.
+    """
+    schema = "class_id long, signature long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = written(batch.where("signature is not null").groupBy("signature").agg(F.min(id_col).alias("class_id")).select("class_id", "signature"), "arrivals")
+        kept = spark.read.schema(f"{schema}, batch_id long").parquet(path).where(F.col("batch_id") < batch_id) if _there(spark, path) else spark.createDataFrame([], f"{schema}, batch_id long")
+        fresh = own.join(near_to(own, kept), "class_id", "left_anti")
+        stays = greedy_resolution(near_pairs(fresh, "class_id"), fresh).where("kept").select("class_id")
+        fresh.join(stays, "class_id", "left_semi").select("class_id", "signature").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def near_to(own: DataFrame, kept: DataFrame) -> DataFrame:
+    """class_id of the signatures within NEAR bits of a kept one, found by shared blocks."""
+    left = own.select("class_id", F.col("signature").alias("s"), F.explode(block_keys(F.col("signature"))).alias("key"))
+    right = kept.select(F.col("signature").alias("t"), F.explode(block_keys(F.col("signature"))).alias("key"))
+    return left.join(right, "key").where(T.hamming(F.col("s"), F.col("t")) <= NEAR).select("class_id").distinct()
+
+
+def missing_status_sweep(spark: SparkSession, path: str, status: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> Callable[[DataFrame, int], None]:
+    """Writer for foreachBatch: statuses of the rows that have none yet; a sweep that runs again adds nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates([key])
+        if _there(spark, path):
+            rows = rows.join(spark.read.parquet(path).where(F.col("batch_id") != batch_id).select(key), key, "left_anti")
+        status(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

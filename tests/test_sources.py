@@ -81,12 +81,32 @@ def test_registered_functions(spark):
 def test_stream_windows_equal_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3} 0{i % 6}:10:00", "ab"[i % 2], float(i)) for i in range(40)], "event_id long, t string, event_type string, value double").select("event_id", F.to_timestamp("t").alias("ts"), "event_type", "value")
     rows.write.parquet(str(tmp_path / "in"))
-    E.run_available(E.windowed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "win", str(tmp_path / "ck"), "complete")
-    assert {tuple(r) for r in spark.table("win").collect()} == {tuple(r) for r in E.windowed(rows).collect()}
+    E.run_available(E.windowed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "win"), str(tmp_path / "ck"), "complete")
+    last = max((tmp_path / "win").glob("batch_id=*"), key=lambda x: int(x.name.split("=")[1]))
+    assert {tuple(r) for r in spark.read.parquet(str(last)).collect()} == {tuple(r) for r in E.windowed(rows).collect()}
 
 
 def test_stream_first_seen(spark, tmp_path):
     rows = spark.createDataFrame([(1, "A  long enough text for one fingerprint"), (2, "a long enough TEXT for one fingerprint"), (3, "another long enough text for fingerprints")], "doc_id long, text string").withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    E.run_available(E.stream_first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "seen", str(tmp_path / "ck"))
-    assert spark.table("seen").count() == 2
+    E.run_available(E.stream_first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "seen"), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "seen")).count() == 2
+
+
+def test_near_duplicate_state(spark, tmp_path):
+    write = E.near_duplicate_state(spark, str(tmp_path / "kept"))
+    first = spark.createDataFrame([(1, 0), (2, 1), (3, 15 << 20), (4, None), (5, 0)], "doc_id long, signature long")
+    second = spark.createDataFrame([(6, 3), (7, (15 << 20) | 1), (8, 0xFFFF), (9, 0xFFFF ^ 1), (10, 255 << 40)], "doc_id long, signature long")
+    for _ in range(2):  # a repeated batch gives the same
+        write(first, 0)
+        write(second, 1)
+        got = spark.read.parquet(str(tmp_path / "kept")).select("batch_id", "class_id").collect()
+        assert sorted((r["batch_id"], r["class_id"]) for r in got) == [(0, 1), (0, 3), (1, 8), (1, 10)]
+
+
+def test_sweep_fills_what_is_missing(spark, tmp_path):
+    write = E.missing_status_sweep(spark, str(tmp_path / "done"), lambda d: d.select("doc_id", F.lit("ok").alias("status")))
+    write(spark.range(3).withColumnRenamed("id", "doc_id"), 0)
+    write(spark.range(5).withColumnRenamed("id", "doc_id"), 1)
+    write(spark.range(5).withColumnRenamed("id", "doc_id"), 1)
+    assert sorted((r["batch_id"], r["doc_id"]) for r in spark.read.parquet(str(tmp_path / "done")).collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)]
