@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievewright.functions import canonical
 from sievewright.operators import candidates, checks, dedup, evidence, identity, pages, policies, records, relational, review
 from sievewright.streaming import events
 
-MODULES = (candidates, policies, checks, evidence, identity, dedup, review, records, relational, pages, events)
+MODULES = (canonical, candidates, policies, checks, evidence, identity, dedup, review, records, relational, pages, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
