@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators.dedup import signatures
 from sievewright.operators.review import CONTRIBUTIONS_SQL, contributions, revisions
 from sievewright.tables import once, positions, table
 
@@ -145,16 +144,6 @@ def last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'click'").select("event_id", "error_id")
 
 
-def perturbation_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash distances between evaluation items and their copies with the middle word dropped."""
-    d = once(table(spark, sf_dir, "eval_items").select("item_id", "text"), "w", F.split(F.col("text"), " "))
-    mid = F.floor(F.size("w") / 2).cast("int")
-    cut = F.array_join(F.concat(F.slice("w", F.lit(1), mid), F.slice("w", mid + 2, F.greatest(F.size("w") - mid - 1, F.lit(0)))), " ")
-    one = signatures(d.select("item_id", "text"), "item_id")
-    two = signatures(d.select("item_id", cut.alias("text")), "item_id").withColumnRenamed("signature", "other")
-    return one.join(two, "item_id").groupBy(T.hamming(F.col("signature"), F.col("other")).cast("long").alias("distance")).agg(F.count(F.lit(1)).alias("items"))
-
-
 REV = "r AS (SELECT DISTINCT * FROM document_revisions)"
 _C = ["license_id", "rights_status", "source_language", "source_domain", "byte_size", "line_count", "media_type"]
 
@@ -216,5 +205,4 @@ QUERIES = {
         last_error,
         "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS error_id FROM events) SELECT event_id, error_id FROM e WHERE event_type = 'click'",
     ),
-    "perturbation_distances": (perturbation_distances, None),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
+from sievewright.operators.identity import perturbed, perturbed_sql
 from sievewright.tables import spread, table, written
 
 NEAR, APPROXIMATE = 3, 10
@@ -259,15 +260,15 @@ def decontamination_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(F.broadcast(have), F.lit(True)).select("source", "documents", "exact", "near", outcome.alias("outcome"))  # one row
 
 
-def corpus_pair_histogram(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
-    """Distances between all pairs of a bounded sample (a sampling operator), counted in one block."""
+def corpus_pair_histogram(spark: SparkSession, sf_dir: str, size: int = 2000) -> DataFrame:
+    """Distances between all pairs of a bounded sample of documents (a sampling operator), counted in one block."""
     import numpy as np
     import pandas as pd
 
     s = signatures(table(spark, sf_dir, "documents"), "doc_id").withColumn("k", F.sha2(F.col("doc_id").cast("string"), 256)).orderBy("k").limit(size)
 
     def count(rows):
-        whole = pd.concat([*rows, pd.DataFrame({"signature": []})])["signature"].to_numpy(dtype=np.int64).view(np.uint64)
+        whole = np.concatenate([np.empty(0, np.int64), *(r["signature"].to_numpy(dtype=np.int64) for r in rows)]).view(np.uint64)
         found = np.zeros(65, dtype=np.int64)
         for i in range(len(whole) - 1):
             found += np.bincount(np.bitwise_count(whole[i + 1 :] ^ whole[i]), minlength=65)
@@ -276,14 +277,27 @@ def corpus_pair_histogram(spark: SparkSession, sf_dir: str, size: int = 500) ->
     return s.select("signature").coalesce(1).mapInPandas(count, "distance long, pairs long").where("pairs > 0")
 
 
+def perturbation_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between documents and four kinds of slightly changed copies: in all, by kind and by length."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null")
+    p = written(spread(perturbed(docs, "doc_id")), "perturbed")
+    simhash = T.simhash(digest="md5")
+    two = p.select("doc_id", "kind", "words", simhash("text").alias("other"))
+    one = signatures(docs, "doc_id")
+    d = one.join(two, "doc_id").select("kind", F.when(F.col("words") < 50, "short").when(F.col("words") < 150, "middle").otherwise("long").alias("length"), T.hamming(F.col("signature"), F.col("other")).cast("long").alias("distance"))
+    g = d.where("distance is not null").groupingSets([[F.col("distance")], [F.col("kind"), F.col("distance")], [F.col("length"), F.col("distance")]], F.col("kind"), F.col("length"), F.col("distance"))
+    return g.agg(F.count(F.lit(1)).alias("copies")).select("kind", "length", "distance", "copies")
+
+
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative share of sampled pairs within each distance."""
+    """Of each threshold the share of changed copies that it finds and the share of sampled pairs that it links."""
     h = corpus_pair_histogram(spark, sf_dir)
+    copies = perturbation_distances(spark, sf_dir).where("kind is null and length is null").select("distance", "copies")
     steps = spark.range(65).select(F.col("id").alias("threshold"))
-    filled = steps.join(h, F.col("threshold") == F.col("distance"), "left").select("threshold", F.coalesce("pairs", F.lit(0)).alias("pairs"))
-    within = F.sum("pairs").over(Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0))  # 65 rows
-    total = F.sum("pairs").over(Window.partitionBy())
-    return filled.select("threshold", within.alias("pairs_within"), T.basis_points(within, total).alias("points"))
+    filled = steps.join(h, F.col("threshold") == h["distance"], "left").join(copies, F.col("threshold") == copies["distance"], "left").select("threshold", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    upto, whole = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # 65 rows
+    share = lambda c: T.basis_points(F.sum(c).over(upto), F.sum(c).over(whole))
+    return filled.select("threshold", F.sum("pairs").over(upto).alias("pairs_within"), share("pairs").alias("pair_points"), F.sum("copies").over(upto).alias("copies_within"), share("copies").alias("recall_points"))
 
 
 P = T.PROFILE_SQL.format("text")
@@ -311,6 +325,13 @@ _APPROXIMATE = f"""{_SIG}, {_signature_sql("eval_items", "item_id").replace("t A
       AND len(list_filter(range(8), lambda i: ((s.signature >> (i * 8)) & 255) = ((s2.signature >> (i * 8)) & 255))) > 0),
     ar AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, item_id) AS k FROM ap)"""
 
+_PAIRS = """ps AS (SELECT signature, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR)) AS k FROM s QUALIFY k <= 2000), ph AS (SELECT bit_count(xor(a.signature, b.signature))::BIGINT AS distance, count(*) AS pairs FROM ps a JOIN ps b ON a.k < b.k GROUP BY 1)"""
+_COPIES = f"""{perturbed_sql("documents", "doc_id")}, cg AS (SELECT doc_id, kind, n AS words, len(v) - 2 AS n, unnest(list_transform(range(1, len(v) - 1), lambda i: ('0x' || substr(md5(array_to_string(v[i:i + 2], chr(31))), 1, 16))::UBIGINT)) AS h FROM pt WHERE len(v) >= 5),
+    cb AS (SELECT doc_id, kind, any_value(words) AS words, any_value(n) AS n, i, sum((h >> i) & 1) AS ones FROM cg, range(64) r(i) GROUP BY doc_id, kind, i),
+    cs AS (SELECT doc_id, kind, any_value(words) AS words, sum(CASE WHEN 2 * ones > n THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END)::UBIGINT AS other FROM cb GROUP BY doc_id, kind),
+    cd AS (SELECT kind, CASE WHEN words < 50 THEN 'short' WHEN words < 150 THEN 'middle' ELSE 'long' END AS length, bit_count(xor(s.signature, other))::BIGINT AS distance FROM cs JOIN s USING (doc_id)),
+    ch AS (SELECT kind, length, distance, count(*) AS copies FROM cd GROUP BY GROUPING SETS ((distance), (kind, distance), (length, distance)))"""
+
 QUERIES = {
     "normalized_duplicates": (
         normalized_duplicates,
@@ -360,6 +381,12 @@ QUERIES = {
         x AS (SELECT source, count(*) AS documents, count(*) FILTER (sha256({P}) IN (SELECT sha256({P}) FROM eval_items WHERE item_split IN ('eval', 'holdout'))) AS exact, count(*) FILTER (doc_id IN (SELECT doc_id FROM ar)) AS near FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source)
         SELECT source, documents, exact, near, CASE WHEN refs = 0 THEN 'not_evaluated' WHEN exact + near > 0 THEN 'blocked' ELSE 'passed' END AS outcome FROM x, n""",
     ),
-    "corpus_pair_histogram": (corpus_pair_histogram, None),
-    "threshold_sweep": (threshold_sweep, None),
+    "corpus_pair_histogram": (corpus_pair_histogram, f"WITH {_SIG}, {_PAIRS} SELECT distance, pairs FROM ph"),
+    "perturbation_distances": (perturbation_distances, f"WITH {_SIG}, {_COPIES} SELECT kind, length, distance, copies FROM ch"),
+    "threshold_sweep": (
+        threshold_sweep,
+        f"""WITH {_SIG}, {_PAIRS}, {_COPIES}, f AS (SELECT t.threshold, coalesce(pairs, 0) AS pairs, coalesce(copies, 0) AS copies FROM range(65) t(threshold) LEFT JOIN ph ON ph.distance = t.threshold LEFT JOIN (SELECT distance, copies FROM ch WHERE kind IS NULL AND length IS NULL) c ON c.distance = t.threshold),
+        w AS (SELECT threshold, sum(pairs) OVER (ORDER BY threshold)::BIGINT AS pairs_within, sum(copies) OVER (ORDER BY threshold)::BIGINT AS copies_within, sum(pairs) OVER ()::BIGINT AS p, sum(copies) OVER ()::BIGINT AS c FROM f)
+        SELECT threshold, pairs_within, ((pairs_within * 10000 + p // 2) // p)::BIGINT AS pair_points, copies_within, ((copies_within * 10000 + c // 2) // c)::BIGINT AS recall_points FROM w""",
+    ),
 }

@@ -105,8 +105,8 @@ def heldout_split(spark: SparkSession, sf_dir: str, modulus: int = 25) -> DataFr
     return documents(spark, sf_dir).where("text is not null").select("doc_id", F.when(bucket == 0, "held_out").otherwise("train").alias("partition"))
 
 
-def token_perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each eval item with its middle word dropped, replaced, swapped, or its middle tenth dropped."""
+def perturbed(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, kind, text, words) of each text with its middle word dropped, replaced, swapped, or its middle tenth dropped."""
     w = F.col("w")
     n = F.size(w)
     mid = F.floor(n / 2).cast("int")
@@ -119,9 +119,14 @@ def token_perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "swap": F.concat(F.slice(w, F.lit(1), mid - 1), F.slice(w, mid + 1, F.lit(1)), F.slice(w, mid, F.lit(1)), tail(mid + 1)),
         "drop_span": F.concat(F.slice(w, F.lit(1), first), tail(first + span)),
     }
-    d = once(table(spark, sf_dir, "eval_items").select("item_id", "text"), "w", T.tokens(T.profile_text(F.col("text")))).where(F.size("w") >= 5)
+    d = once(docs.select(id_col, "text"), "w", T.tokens(T.profile_text(F.col("text")))).where(F.size("w") >= 5)
     made = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.array_join(v, " ").alias("text")) for k, v in kinds.items()))).alias("p")
-    return d.select("item_id", made).select("item_id", "p.kind", F.md5("p.text").alias("text_md5"), F.size(F.split("p.text", " ")).cast("long").alias("words"))
+    return d.select(id_col, made, F.size("w").alias("words")).select(id_col, "p.kind", "p.text", "words")
+
+
+def token_perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = perturbed(table(spark, sf_dir, "documents"), "doc_id")
+    return p.select("doc_id", "kind", F.md5("text").alias("text_md5"), F.size(F.split("text", " ")).cast("long").alias("words"))
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +167,13 @@ GRAMS = "CASE WHEN len(w) >= {0} THEN list_transform(range(1, len(w) - {0} + 2),
 WORDS = f"SELECT doc_id, regexp_extract_all({P}, {LOCAL}) AS w FROM documents WHERE text IS NOT NULL"
 UNITS = r"trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')"
 
+
+def perturbed_sql(name: str, key: str) -> str:
+    return f"""pw AS (SELECT {key}, regexp_extract_all({P}, {LOCAL}) AS w FROM {name}), pn AS (SELECT *, len(w) AS n, len(w) // 2 AS m, greatest(len(w) // 10, 1) AS s FROM pw WHERE len(w) >= 5),
+    pt AS (SELECT {key}, 'drop' AS kind, n, w[1:m] || w[m+2:] AS v FROM pn UNION ALL SELECT {key}, 'replace', n, w[1:m] || ['zzz'] || w[m+2:] FROM pn
+      UNION ALL SELECT {key}, 'swap', n, w[1:m-1] || [w[m+1]] || [w[m]] || w[m+2:] FROM pn UNION ALL SELECT {key}, 'drop_span', n, w[1:(n-s)//2] || w[(n-s)//2+s+1:] FROM pn)"""
+
+
 QUERIES = {
     "document_id": (
         document_id,
@@ -200,13 +212,7 @@ QUERIES = {
         SELECT subtag, CASE WHEN subtag IS NULL OR subtag = 'und' THEN 'applied_language_unknown' WHEN subtag = 'tr' THEN 'applied' ELSE 'not_evaluated' END AS status, count(*) AS documents FROM d GROUP BY ALL""",
     ),
     "heldout_split": (heldout_split, "SELECT doc_id, CASE WHEN ('0x' || substr(sha256(text), 1, 8))::BIGINT % 25 = 0 THEN 'held_out' ELSE 'train' END AS partition FROM documents WHERE text IS NOT NULL"),
-    "token_perturbations": (
-        token_perturbations,
-        f"""WITH t AS (SELECT item_id, regexp_extract_all({P}, {LOCAL}) AS w FROM eval_items), n AS (SELECT *, len(w) AS n, len(w) // 2 AS m, greatest(len(w) // 10, 1) AS s FROM t WHERE len(w) >= 5),
-        p AS (SELECT item_id, 'drop' AS kind, w[1:m] || w[m+2:] AS v FROM n UNION ALL SELECT item_id, 'replace', w[1:m] || ['zzz'] || w[m+2:] FROM n
-          UNION ALL SELECT item_id, 'swap', w[1:m-1] || [w[m+1]] || [w[m]] || w[m+2:] FROM n UNION ALL SELECT item_id, 'drop_span', w[1:(n-s)//2] || w[(n-s)//2+s+1:] FROM n)
-        SELECT item_id, kind, md5(array_to_string(v, ' ')) AS text_md5, len(v)::BIGINT AS words FROM p""",
-    ),
+    "token_perturbations": (token_perturbations, f"WITH {perturbed_sql('documents', 'doc_id')} SELECT doc_id, kind, md5(array_to_string(v, ' ')) AS text_md5, len(v)::BIGINT AS words FROM pt"),
     "packed_documents": (packed_documents, None),
     "length_buckets": (
         length_buckets,

@@ -187,7 +187,10 @@ QUERIES = {
         ordinal_gaps,
         "WITH d AS (SELECT source_id, source_ordinal, lag(source_ordinal) OVER (PARTITION BY source_id ORDER BY source_ordinal, record_id) AS b FROM source_lines) SELECT source_id, max(source_ordinal) AS last_ordinal, count(*) FILTER (source_ordinal <= b) AS repeated, count(*) FILTER (source_ordinal > b + 1) AS gaps FROM d GROUP BY source_id",
     ),
-    "candidate_lines": (candidate_lines, None),
+    "candidate_lines": (
+        candidate_lines,
+        """WITH l AS (SELECT doc_id, '{"text":' || replace(to_json(text)::VARCHAR, chr(127), '\\u007F') || ',"url":' || coalesce(to_json(url)::VARCHAR, 'null') || '}' AS line FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(line) AS line_sha, strlen(line)::BIGINT AS bytes FROM l""",
+    ),
     "export_counters": (
         export_counters,
         f"SELECT source, count(*) AS records, sum(length(text))::BIGINT AS chars, first(doc_id ORDER BY source_ordinal, doc_id) AS first_id, last(doc_id ORDER BY source_ordinal, doc_id) AS last_id FROM documents WHERE {UNITS} <> '' GROUP BY source",

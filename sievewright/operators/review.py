@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,24 +54,27 @@ def stratified_audit_sample(spark: SparkSession, sf_dir: str, each: int = 5) ->
 def reservoir_indices(eligible: int, size: int, seed: str) -> dict[int, int]:
     """slot -> 1-based index of the row that a reservoir over so many rows keeps there.
 
-    The choice depends on counts only, so rows needn't pass through one task.
+    The choice depends on counts only, so rows needn't pass through one task;
+    rows between two replacements are skipped at once, so the steps grow with
+    the logarithm of the rows.
     """
-    rng, kept = random.Random(int(seed[:16], 16)), {}
-    for i in range(1, eligible + 1):
-        if i <= size:
-            kept[i - 1] = i
-        elif (slot := rng.randrange(i)) < size:
-            kept[slot] = i
+    rng, kept = random.Random(int(seed[:16], 16)), {i: i + 1 for i in range(min(size, eligible))}
+    at, w = size, 1.0
+    while size and at <= eligible:
+        w *= math.exp(math.log(1.0 - rng.random()) / size)
+        at += math.floor(math.log(1.0 - rng.random()) / math.log1p(-w)) + 1 if w < 1 else 1
+        if at <= eligible:
+            kept[rng.randrange(size)] = at
     return kept
 
 
 def reservoir_sample(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
-    """Reservoir over the items of the evaluation set, in slot order."""
-    items = table(spark, sf_dir, "eval_items").where("text is not null").select("item_id")
-    numbered = items.withColumn("index", F.row_number().over(Window.orderBy("item_id")))  # a fixed set of items
-    kept = reservoir_indices(items.count(), size, "9f86d081884c7d65")
+    """Reservoir over all documents with a text (a sampling operator), in slot order."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", F.lit(1).alias("all"))
+    numbered = positions(docs, "all", ["doc_id"], "index")  # by ranges, no task sorts all
+    kept = reservoir_indices(docs.count(), size, "9f86d081884c7d65")
     slots = spark.createDataFrame(list(kept.items()), "slot long, index long")
-    return slots.join(numbered, "index").select("slot", "item_id").orderBy("slot")
+    return numbered.join(F.broadcast(slots), "index").select("slot", "doc_id").orderBy("slot")
 
 
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,11 @@ def test_wilson_and_kappa(spark):
 
 def test_reservoir():
     kept = review.reservoir_indices(1000, 10, "9f86d081884c7d65")
-    assert sorted(kept) == list(range(10)) and all(1 <= v <= 1000 for v in kept.values())
-    assert review.reservoir_indices(3, 10, "9f86d081884c7d65") == {0: 1, 1: 2, 2: 3}
+    assert sorted(kept) == list(range(10)) and len(set(kept.values())) == 10 and all(1 <= v <= 1000 for v in kept.values())
+    assert review.reservoir_indices(3, 10, "9f86d081884c7d65") == {0: 1, 1: 2, 2: 3} and review.reservoir_indices(0, 10, "0") == {}
+    tenth = [sum(v <= 100 for v in review.reservoir_indices(1000, 10, f"{i:016x}").values()) for i in range(400)]
+    assert 0.85 < sum(tenth) / 400 < 1.15  # each row is as likely as any other
+    assert len(review.reservoir_indices(10**12, 50, "1")) == 50
 
 
 def test_positions_of_a_hot_group(spark):
