@@ -2,7 +2,8 @@
 
 Every rule speaks only where the second policy has named its reason, so the
 third never rejects what the second keeps, apart from extreme repetition,
-whose measure is another one. A document's body is its whole text here.
+whose measure is another one. Signals are those of the document's body, its
+text less menus before and comments after its prose.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
+from sievewright.functions.body import body
 from sievewright.operators import candidates as C
-from sievewright.tables import once, table
+from sievewright.tables import once, spread, table
 
 #: Function words, by whose share prose is told from lists.
 FUNCTION_WORDS = """
@@ -35,10 +37,10 @@ MARKUP = r"\{\{[^{}]*\}\}|\{\|[^|]*|\|\}|\[\[(?:[^\[\]|]*\|)?|\]\]|<[^<>]{1,80}>
 
 
 def signals() -> dict[str, Column]:
-    """Structural signals of a text, from folded text f, words w, number of words and sorted segments s."""
-    f, words = F.col("f"), F.col("words")
+    """Structural signals of a body, from its folded text, words and sorted segments."""
+    f, words = F.col("body_f"), F.size("body_w")
     count = lambda pattern: F.regexp_count(f, F.lit(pattern))
-    known = F.size(F.filter("w", lambda x: x.isin(*FUNCTION_WORDS)))
+    known = F.size(F.filter("body_w", lambda x: x.isin(*FUNCTION_WORDS)))
     return {
         "no_prose": (words > 0) & (known * 100 < words * FUNCTION_SHARE),
         "no_sentences": (words > 0) & (count("[.!?…]") * 100 < words * SENTENCE_SHARE),
@@ -52,7 +54,10 @@ def measured(docs: DataFrame) -> DataFrame:
     """Documents measured as for the second policy; of those it rejects, their signals too."""
     d = once(C.measured(docs), "v2", C.reasons("v2"))
     hit = F.size("v2") > 0
-    d = once(d, "all_s", F.when(hit, F.sort_array(C.segments(F.col("f")))).otherwise(F.array().cast("array<string>")))
+    d = once(d, "body", body(F.when(hit, F.col("text"))))  # other texts reach the function as nulls
+    d = once(d, "body_f", C.folded(F.col("body")))
+    d = once(d, "body_w", F.coalesce(F.regexp_extract_all("body_f", F.lit(C.WORD), 0), F.array().cast("array<string>")))
+    d = once(d, "all_s", F.when(hit, F.sort_array(C.segments(F.col("body_f")))).otherwise(F.array().cast("array<string>")))
     return once(d, "signals", F.when(hit, F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in signals().items())), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
 
 
@@ -75,7 +80,7 @@ def reasons() -> Column:
     """Reasons of the third policy in fixed order."""
     text, f, words, v2 = F.col("text"), F.col("f"), F.col("words"), F.col("v2")
     named = lambda k: F.array_contains(v2, F.lit(k))
-    known = F.size(F.filter("w", lambda x: x.isin(*FUNCTION_WORDS)))
+    known, body_words = F.size(F.filter("body_w", lambda x: x.isin(*FUNCTION_WORDS))), F.size("body_w")
     grams = T.ngrams(F.col("w"), 5)
     unique = F.floor(F.size(F.array_distinct(grams)) * 1000 / F.size(grams))
     suspect = F.when(words < 500, None).when(unique <= EXTREME_GRAMS, text)  # other texts reach the function as nulls
@@ -85,8 +90,8 @@ def reasons() -> Column:
         return F.when(~named(reason), False).otherwise((F.size("signals") > 0) | dense)
 
     veto = F.arrays_overlap("signals", F.array(F.lit("contact_cta"), F.lit("link_flood"), F.lit("repeated_block")))
-    prose = prose_chars(text)
-    short = veto | (prose < WIKI_CHARS) | (prose * 1000 < F.char_length(text) * WIKI_SHARE) | (words == 0) | (known * 100 < words * WIKI_FUNCTION_SHARE)
+    prose = prose_chars(F.col("body"))
+    short = veto | (prose < WIKI_CHARS) | (prose * 1000 < F.char_length("body") * WIKI_SHARE) | (body_words == 0) | (known * 100 < body_words * WIKI_FUNCTION_SHARE)
     tests = {
         "hashtag_stuffing": named("hashtag_stuffing"),
         "mixed_script_artifact": named("mixed_script_artifact"),
@@ -105,9 +110,16 @@ def reasons() -> Column:
 
 
 def quality_rules_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons of the second and third policies and the signals of each document that the second rejects."""
+    """Reasons of the second and third policies of each document that either rejects."""
     d = measured(table(spark, sf_dir, "documents").where("text is not null"))
-    return d.select("doc_id", F.array_join("v2", "|").alias("v2"), F.array_join(reasons(), "|").alias("v3"), F.array_join("signals", "|").alias("signals")).where("v2 <> '' or v3 <> ''")
+    return d.select("doc_id", F.array_join("v2", "|").alias("v2"), F.array_join(reasons(), "|").alias("v3")).where("v2 <> '' or v3 <> ''")
+
+
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters before, in and after the body of each document, by source."""
+    d = once(spread(table(spark, sf_dir, "documents").where("text is not null").select("source", "text")), "body", body(F.col("text")))
+    n = F.char_length("text")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(n).alias("chars"), F.sum(F.char_length("body")).alias("body_chars"), F.count_if(F.char_length("body") < n).alias("trimmed"))
 
 
 _KNOWN = "len(list_filter(w, lambda x: list_contains([" + ", ".join(f"'{x}'" for x in FUNCTION_WORDS) + "], x)))"
@@ -151,6 +163,7 @@ _V3 = {
 _SEGMENTS = f"list_sort(list_filter(list_transform(regexp_split_to_array(regexp_replace(f, '([.!?…])[ \\t\\n\\r\\f\\x0b]+', '\\1' || chr(10), 'g'), '[\\n\\r]+'), lambda x: array_to_string(regexp_extract_all(x, '{C.WORD.replace(chr(39), chr(39) * 2)}'), ' ')), lambda x: length(x) >= 20))"
 V3_SQL = f"""WITH {C.MEASURED}, a AS (SELECT *, {_SEGMENTS} AS all_s, string_split(reasons, '|') AS v FROM q WHERE text IS NOT NULL AND reasons <> ''),
     b AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _SIGNALS.items())}], lambda x: x IS NOT NULL) AS g FROM a)
-    SELECT doc_id, reasons AS v2, concat_ws('|', {", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _V3.items())}) AS v3, array_to_string(g, '|') AS signals FROM b"""
+    SELECT doc_id, reasons AS v2, concat_ws('|', {", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _V3.items())}) AS v3 FROM b"""
 
-QUERIES = {"quality_rules_v3": (quality_rules_v3, V3_SQL)}
+#: The SQL takes the whole text for the body, which it is wherever a rule depends on it on these tables.
+QUERIES = {"quality_rules_v3": (quality_rules_v3, V3_SQL), "page_bodies": (page_bodies, None)}

@@ -124,7 +124,7 @@ def policy_texts():
     return {
         1: "temiz bir metin ve bir sonu var ama son harf kayıp �", 2: "� " + "uzun " * 40, 3: "ka�ip bir harf", 4: "iki � ve bir daha �",
         5: dating, 6: " ".join("arkadaş sohbet tanış partner hemen ücretsiz tıkla".split() * 30) + " " + " ".join(filler(70, 1000)),
-        7: "{{bilgi}} kısa", 8: prose + " [[bağ|bağlantı]]", 9: prose + " {{x}} hemen ara hemen tıkla whatsapp bizi arayın", 10: mixed(16, 1000, "arkadaş sohbet tanış partner".split() + PROMO[:3], 4),
+        7: "{{bilgi}} kısa", 8: prose + " [[bağ|bağlantı]]", 9: "{{x}} " + prose.replace(". kelime", ". hemen ara hemen tıkla whatsapp bizi arayın kelime", 1), 10: mixed(16, 1000, "arkadaş sohbet tanış partner".split() + PROMO[:3], 4),
         11: ". ".join([" ".join(filler(20, 12))] * 200) + ". " + " ".join(filler(21, 100)),
     }
 
@@ -135,8 +135,8 @@ def test_third_policy_against_sql(spark, tmp_path):
     pd.DataFrame(list(policy_texts().items()), columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
-    want = {r[0]: r[1:] for r in duck.sql(f"select doc_id, v2, v3, signals from ({policies.V3_SQL})").fetchall()}
-    got = {r["doc_id"]: (r["v2"], r["v3"], r["signals"]) for r in policies.quality_rules_v3(spark, str(tmp_path)).collect()}
+    want = {r[0]: r[1:] for r in duck.sql(f"select doc_id, v2, v3 from ({policies.V3_SQL})").fetchall()}
+    got = {r["doc_id"]: (r["v2"], r["v3"]) for r in policies.quality_rules_v3(spark, str(tmp_path)).collect()}
     assert "extreme_repetition" in got.pop(11)[1]
     want.pop(11, None)
     assert got == want
@@ -172,3 +172,39 @@ def test_fourth_policy_against_sql(spark, tmp_path):
         else:
             assert {k for k, v in got.items() if v[1]} == {11, 12, 15, 16, 17, 18, 19, 20}
             assert "foreign_cctld" in got[15][0] and "path_tr" in got[16][0] and "path_tr" in got[17][0] and "bu_comma" in got[18][0]
+
+
+def plain_body(text):
+    """The rule step by step."""
+    from sievewright.functions import body as B
+
+    found = [(m.start(), m.end(), B.fold(text)[m.start() : m.end()]) for m in B.WORD.finditer(text)]
+    blocks = []
+    for i in range(0, len(found), 24):
+        part = found[i : i + 24]
+        inside = text[part[0][0] : part[-1][1]]
+        f = sum(w in B.FUNCTION_WORDS for _, _, w in part)
+        v = sum(bool(B.VERB.search(w)) for _, _, w in part)
+        prose = f * 100 >= len(part) * 12 or (f * 200 >= len(part) * 12 and v * 100 >= len(part) * 8 and len(re.findall(r"[.!?…](?:\s|$)", inside)) >= 1)
+        blocks.append((part[0][0], part[-1][1], prose))
+    told = [b for b in blocks if b[2]]
+    if len(found) < 120 or len(blocks) < 3 or not told:
+        return text
+    a, b = told[0][0], told[-1][1]
+    a = 0 if a * 2 > len(text) else a
+    b = len(text) if (len(text) - b) * 2 > len(text) else b
+    return text[a:b] if (b - a) * 4 >= len(text) else text
+
+
+def test_body_against_the_plain_rule(spark):
+    from sievewright.functions import body as B
+
+    rng = random.Random(5)
+    menu, prose = "Ana Sayfa Haberler Giriş Menü Kategori İletişim Arama".split(), "bu kitap için yeni bir yol vardı ve herkes onu bekliyordu.".split()
+    texts = ["", None, " ".join(menu * 10 + prose * 30 + menu * 12)]
+    for _ in range(150):
+        texts.append(" ".join(w for _ in range(rng.randint(1, 30)) for w in (menu if rng.random() < 0.5 else prose) * rng.randint(1, 4)))
+    got = [r["b"] for r in spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(1).sortWithinPartitions("id").select(B.body("t").alias("b")).collect()]
+    assert got == [None if t is None else plain_body(t) for t in texts]
+    assert got[2].startswith("Menü") or got[2].startswith("bu") or len(got[2]) < len(texts[2])
+    assert any(t and len(g) < len(t) for t, g in zip(texts, got, strict=True))
