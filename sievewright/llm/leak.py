@@ -58,7 +58,7 @@ _GAP, _JOIN = 1, 2  # codes of white space and of joiners
 def _fold() -> tuple[np.ndarray, dict[str, str]]:
     """Code point -> folded letter or digit, 0 for nothing, 1 white space, 2 joiner, 3 other; and what folds to several letters."""
     table, several = np.full(0x110000, 3, np.uint32), {}
-    for cp in range(0x30000):
+    for cp in range(0x34000):
         ch = chr(cp)
         if 0xD800 <= cp < 0xE000:
             continue

@@ -304,7 +304,7 @@ _Q = 0x9E3779B97F4A7C15
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Code point -> 0 space, 1 letter, 2 digit, 3 other; small letter."""
     kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
-    for cp in range(0x30000):
+    for cp in range(0x34000):
         ch = chr(cp)
         if ch.isspace() or ch == "_":
             kind[cp] = 0

@@ -101,7 +101,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By code point: type, letter or digit, folded code point, symbol."""
     kind, alnum = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
     low = np.arange(0x110000, dtype=np.uint32)
-    for cp in range(0x30000):
+    for cp in range(0x34000):
         ch = chr(cp)
         if ch.isspace():
             kind[cp] = SPACE
