@@ -172,8 +172,8 @@ def greedy_resolution(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     rise from left to right may never settle and are an error.
     """
     state = written(nodes.select("class_id", F.lit(None).cast("boolean").alias("kept")), "resolution")
-    near = written(pairs.select("left_id", "right_id"), "near")
-    left = None
+    left = state.count()
+    near = written(pairs.select("left_id", "right_id"), "near") if left else None
     while left != 0:
         smaller = near.join(state.select(F.col("class_id").alias("left_id"), "kept"), "left_id")
         seen = smaller.groupBy(F.col("right_id").alias("class_id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
