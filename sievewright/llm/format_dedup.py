@@ -104,11 +104,11 @@ NAMELESS = (1 << 63) - 1  # stands for a missing record id; sorts last
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = pa.array(canonical_keys(batch.column(1).to_pylist()), type=pa.string())
-        made = pa.RecordBatch.from_arrays([batch.column(0), keys, *batch.columns[2:]], names=["record_id", "key", *batch.schema.names[2:]])
+        made = pa.RecordBatch.from_arrays([batch.column(0), keys], names=["record_id", "key"])
         yield made.filter(pc.is_valid(keys))
 
 
-SCANNED = "h long, first_id long, record_id long, run long, edge boolean, edge_key string, line string"
+SCANNED = "h long, first_id long, record_id long, run long, edge boolean, edge_key string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +117,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Emits each member with the run's first id. Members of hashes that touch
     the partition's ends are marked, and the first of each such run carries
     the key for stitching. Only the runs of the current last hash are held,
-    as ids, never the keys of earlier runs. Where the lines come along, the
-    first row of each run keeps its line.
+    as ids, never the keys of earlier runs.
     """
-    schema = pa.schema([("h", pa.int64()), ("first_id", pa.int64()), ("record_id", pa.int64()), ("run", pa.int64()), ("edge", pa.bool_()), ("edge_key", pa.string()), ("line", pa.string())])
+    schema = pa.schema([("h", pa.int64()), ("first_id", pa.int64()), ("record_id", pa.int64()), ("run", pa.int64()), ("edge", pa.bool_()), ("edge_key", pa.string())])
     prev_h = prev_key = None
     first_id, run, first_h = None, 0, None
     held: list[pa.RecordBatch] = []  # rows whose hash may turn out to be the partition's last
@@ -160,8 +159,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from held
             held = []
         body = np.searchsorted(hs, last_h, "left")
-        lines = pc.if_else(starts, batch.column("line"), None) if "line" in batch.schema.names else pa.nulls(n, pa.string())
-        made = out(pa.array(hs), pa.array(firsts), pa.array(ids), pa.array(runs), pa.array(edge), pa.array(keys, type=pa.string()), lines)
+        made = out(pa.array(hs), pa.array(firsts), pa.array(ids), pa.array(runs), pa.array(edge), pa.array(keys, type=pa.string()))
         if body:
             yield made.slice(0, int(body))
         if edge[body]:  # the whole partition so far has one hash: final already
@@ -170,33 +168,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(made.slice(int(body)))
         prev_h, prev_key = int(last_h), key[n - 1].as_py()
     for made in held:
-        yield out(made.column("h"), made.column("first_id"), made.column("record_id"), made.column("run"), pa.array([True] * made.num_rows), made.column("edge_key"), made.column("line"))
+        yield out(made.column("h"), made.column("first_id"), made.column("record_id"), made.column("run"), pa.array([True] * made.num_rows), made.column("edge_key"))
 
 
-def _sorted_records(lines: DataFrame, id_col: str, line_col: str, partitions: int | None, keep_line: bool) -> DataFrame:
-    spark = lines.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    line = F.col(line_col).cast("string")
-    rows = lines.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("record_id"), line.alias("_line"), *([line.alias("line")] if keep_line else []))
-    keyed = spread(rows).mapInArrow(_keys, "record_id long, key string" + (", line string" if keep_line else ""))
-    # written, as the range partitioning reads its columns twice: once to sample them
-    keyed = written(keyed.select(F.xxhash64("key").alias("h"), *keyed.columns), "keys")
-    return keyed.repartitionByRange(n, "h", "record_id").sortWithinPartitions("h", "key", "record_id")
-
+def _keyed(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
+    """(h, record_id, key) of the lines whose canonical form is known."""
+    rows = lines.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("record_id"), F.col(line_col).cast("string").alias("line"))
+    keyed = spread(rows).mapInArrow(_keys, "record_id long, key string")
+    return keyed.select(F.xxhash64("key").alias("h"), "record_id", "key")
 
-def copy_members(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None, keep_line: bool = False) -> DataFrame:
-    """(h, first_record_id, record_id, line) of every row whose canonical form is known.
 
-    h is the hash of the canonical form; line is the row's text, kept for the
-    first rows of runs if asked for.
-    """
-    scanned = written(_sorted_records(lines, id_col, line_col, partitions, keep_line).mapInArrow(_scan, SCANNED), "runs")
+def copy_members(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
+    """(h, first_record_id, record_id) of every row whose canonical form is known; h is the hash of that form."""
+    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, as the range partitioning reads its columns twice: once to sample them
+    keyed = written(_keyed(lines, id_col, line_col), "keys").repartitionByRange(n, "h", "record_id").sortWithinPartitions("h", "key", "record_id")
+    scanned = written(keyed.mapInArrow(_scan, SCANNED), "runs")
     # At most two hashes a partition: bounded by the number of partitions, not by the data.
     edges = scanned.where(F.col("edge") & F.col("edge_key").isNotNull()).select(F.col("h").alias("eh"), "edge_key", F.col("first_id").alias("local_id"))
     edges = edges.select("eh", "local_id", F.min("local_id").over(Window.partitionBy("eh", "edge_key")).alias("whole_id")).distinct()
-    inner = scanned.where(~F.col("edge")).select("h", F.col("first_id").alias("first_record_id"), "record_id", "line")
+    inner = scanned.where(~F.col("edge")).select("h", F.col("first_id").alias("first_record_id"), "record_id")
     outer = scanned.where("edge").join(F.broadcast(edges), (F.col("h") == F.col("eh")) & (F.col("first_id") == F.col("local_id")))
-    return inner.unionByName(outer.select("h", F.col("whole_id").alias("first_record_id"), "record_id", "line"))
+    return inner.unionByName(outer.select("h", F.col("whole_id").alias("first_record_id"), "record_id"))
 
 
 def copy_pairs(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
@@ -212,9 +205,22 @@ def copy_pairs(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw
 def representatives(lines: DataFrame, id_col: str = "record_id", line_col: str = "raw_line", partitions: int | None = None) -> DataFrame:
     """One row per group: its smallest record id, that record's line and the exact number of copies.
 
-    Groups of nameless rows are told by the 64-bit hash of their canonical form.
+    Copies are counted over ids alone, then each line is joined once. Groups of
+    nameless rows are told by the 64-bit hash of their canonical form, and the
+    smallest of their lines stands for them, as it does where one id stands on
+    several lines.
     """
-    members = copy_members(lines, id_col, line_col, partitions, keep_line=True)
-    first = F.max(F.when(F.col("record_id") == F.col("first_record_id"), F.col("line")))
-    groups = members.groupBy("first_record_id", "h").agg(first.alias("record"), F.count(F.lit(1)).alias("copies"))
-    return groups.select(F.nullif(F.col("first_record_id"), F.lit(NAMELESS)).alias("first_record_id"), "record", "copies")
+    counts = copy_members(lines, id_col, line_col, partitions).groupBy("first_record_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    texts = lines.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("first_record_id")).agg(F.min(F.col(line_col).cast("string")).alias("record"))
+    named = counts.where(F.col("first_record_id") != NAMELESS).join(texts, "first_record_id")
+    bare = lines.where(F.col(id_col).isNull() & F.col(line_col).isNotNull())
+    keyed = bare.select(F.lit(NAMELESS).alias("record_id"), F.col(line_col).cast("string").alias("line")).mapInArrow(_with_line, "h_key string, line string")
+    spoken = keyed.groupBy(F.xxhash64("h_key").alias("h")).agg(F.min("line").alias("record"))
+    nameless = counts.where(F.col("first_record_id") == NAMELESS).join(spoken, "h")
+    return named.select("first_record_id", "record", "copies").unionByName(nameless.select(F.lit(None).cast("long").alias("first_record_id"), "record", "copies"))
+
+
+def _with_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array(canonical_keys(batch.column(1).to_pylist()), type=pa.string())
+        yield pa.RecordBatch.from_arrays([keys, batch.column(1)], names=["h_key", "line"]).filter(pc.is_valid(keys))
