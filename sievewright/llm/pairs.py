@@ -297,6 +297,7 @@ STOPS = ".!?…"
 ORDER = 5  # contexts of a token
 LEAST_SEEN = 3  # rarer contexts say nothing
 CHARS_AT_ONCE = 1 << 22
+WANTED_BITS = 1 << 22
 _Q = 0x9E3779B97F4A7C15
 
 
@@ -402,22 +403,37 @@ def parts_of(texts: list[str]) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for a, b in parts_of(texts):
-            tokens = Tokens(texts[a:b])
-            at = np.arange(len(tokens.whole) - 1)
-            at = at[(tokens.text_of[:-1] == tokens.text_of[1:]) & ~tokens.stop[:-1]] if len(at) else at[:0]
-            keys, where = np.unique(tokens.contexts(at), return_inverse=True)
-            ends = np.bincount(where.reshape(-1), weights=np.repeat(tokens.stop[at + 1], ORDER), minlength=len(keys))
-            n = np.bincount(where.reshape(-1), minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ends.astype(np.int64))], names=["context", "n", "ends"])
+def fit_ends(answers: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(context, n, ends): how often each context was seen and ended a sentence, over all answers.
 
-
-def fit_ends(answers: DataFrame) -> DataFrame:
-    """(context, n, ends): how often each context was seen and ended a sentence, over all answers."""
-    rows = spread(answers).mapInArrow(_count_ends, "context long, n long, ends long")
+    Of the contexts wanted, if given, only the lowest bits go to the workers,
+    half a megabyte at any size: other contexts with other bits are left out
+    before they are counted, which changes no count of a wanted one.
+    """
+    marks = None
+    if wanted is not None:
+        bits = wanted.select(F.explode("contexts").alias("c")).select(F.col("c").bitwiseAND(F.lit(WANTED_BITS - 1)).alias("b")).distinct().toPandas()["b"]
+        held = np.zeros(WANTED_BITS, bool)
+        held[bits.to_numpy(dtype=np.int64)] = True
+        marks = answers.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if marks is None else np.unpackbits(marks.value).view(bool)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in parts_of(texts):
+                tokens = Tokens(texts[a:b])
+                at = np.arange(max(len(tokens.whole) - 1, 0))
+                at = at[(tokens.text_of[:-1] == tokens.text_of[1:]) & ~tokens.stop[:-1]] if len(at) else at
+                keys, end = tokens.contexts(at).reshape(-1), np.repeat(tokens.stop[at + 1], ORDER)
+                if known is not None:
+                    some = known[keys & (WANTED_BITS - 1)]
+                    keys, end = keys[some], end[some]
+                keys, where = np.unique(keys, return_inverse=True)
+                ends, n = np.bincount(where, weights=end, minlength=len(keys)), np.bincount(where, minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ends.astype(np.int64))], names=["context", "n", "ends"])
+
+    rows = spread(answers).mapInArrow(count, "context long, n long, ends long")
     return rows.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where(F.col("n") >= LEAST_SEEN)
 
 
@@ -570,7 +586,8 @@ def defective(pairs: DataFrame) -> DataFrame:
     rows = spread(pairs.select("record_id", "answer_pos", "question", "answer")).mapInArrow(run, SCHEMA + ", contexts array<long>").distinct()
     rows = written(rows, "pairs")  # both parts below are read from it
     clear = rows.where("defect is not null").select("record_id", "answer_pos", "defect")
-    return clear.unionByName(cut_ends(rows.where("defect is null"), fit_ends(pairs.select("answer")))).distinct()
+    open_ends = rows.where("defect is null")
+    return clear.unionByName(cut_ends(open_ends, fit_ends(pairs.select("answer"), open_ends))).distinct()
 
 
 def cut_ends(answers: DataFrame, ends: DataFrame) -> DataFrame:

@@ -249,7 +249,12 @@ def test_unseen_word_takes_no_counts_of_another(spark):
     d = spark.createDataFrame([*whole, ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("cut", 0, None, "Yol üzerinde yeni bir kestanelerden", "tr"), ("same", 0, None, "Yol üzerinde yeni bir kestaneler", "tr"), (None, 0, None, "Yol üzerinde kestanelerden", "tr")], "record_id string, answer_pos long, question string, answer string, lang string")
     assert rows(pairs.defective(d)) == [("cut", 0, "truncated")]
     key = int(pairs.Tokens(["kestaneler"]).contexts(np.array([0]))[0, 1])
-    assert rows(pairs.fit_ends(d.select("answer")).where(f"context = {key}").select("n", "ends")) == [(9, 9)]
+    every = pairs.fit_ends(d.select("answer"))
+    assert rows(every.where(f"context = {key}").select("n", "ends")) == [(9, 9)]
+    wanted = spark.createDataFrame([([key],)], "contexts array<long>")
+    few = pairs.fit_ends(d.select("answer"), wanted)
+    assert rows(few.where(f"context = {key}")) == rows(every.where(f"context = {key}")) and few.count() <= every.count()
+    assert rows(pairs.fit_ends(d.select("answer"), wanted.limit(0))) == []
 
 
 # 5
