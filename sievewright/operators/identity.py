@@ -177,7 +177,7 @@ def perturbed_sql(name: str, key: str) -> str:
 QUERIES = {
     "document_id": (
         document_id,
-        "SELECT doc_id, sha256(text) AS sha256, CASE WHEN text IS NULL THEN 'objects/sha256' ELSE 'objects/sha256/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) END AS storage_key FROM documents",
+        "SELECT doc_id, sha256(text) AS sha256, 'objects/sha256/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) AS storage_key FROM documents",
     ),
     "normalize_profile": (normalize_profile, f"SELECT doc_id, md5({P}) AS normal_md5, length({P})::BIGINT AS normal_chars FROM documents"),
     "normalize_text": (normalize_text, None),
