@@ -57,14 +57,33 @@ def head_repeats(words: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda x: ((F.char_length(joined) - F.char_length(F.replace(joined, x, F.lit("")))) / F.char_length(x)).cast("long"))), F.lit(0))
 
 
+def with_commercial(d: DataFrame) -> DataFrame:
+    """d with families of sales evidence in its text, and whether they make it a commercial page: two, or enough of one."""
+    columns = d.columns
+    d = once(d, "_f", F.lower(F.translate("text", "Iİ", "ıi")))
+    counts = F.struct(*(F.regexp_count("_f", F.lit(p)).alias(k) for k, p in SALES.items()), head_repeats(F.regexp_extract_all("_f", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("title_repeat"))
+    d = once(d, "_c", counts)
+    families = F.filter(F.array(*(F.when(F.col(f"_c.{k}") >= (HEAD_REPEATS if k == "title_repeat" else 1), F.lit(k)) for k in (*SALES, "title_repeat"))), lambda x: x.isNotNull())
+    strong = F.greatest(*((F.col(f"_c.{k}") >= n).cast("int") for k, n in STRONG.items())) == 1
+    return once(d, "families", families).select(*columns, "families", ((F.size("families") >= 2) | strong).alias("commercial_page"))
+
+
+def with_translation(d: DataFrame) -> DataFrame:
+    """d with the signals of a translation in its text and url, and whether they make it a machine translation."""
+    columns = d.columns
+    d = once(d, "_s", F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in translation_signals(F.col("text"), F.col("url")).items())), lambda x: x.isNotNull()))
+    some = lambda *names: F.arrays_overlap("_s", F.array(*map(F.lit, names)))
+    made = (some("host_tr", "path_tr", "foreign_cctld") & some("profile_weak", "bu_comma", "cyrillic_residue")) | some("profile_strong", "bu_comma_profile")
+    return d.select(*columns, F.col("_s").alias("translation_signals"), made.alias("machine_translation"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "url"))
+
+
 def commercial_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of sales evidence in each document; two, or enough of one, make a commercial page."""
-    d = once(spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")), "f", F.lower(F.translate("text", "Iİ", "ıi")))
-    counts = F.struct(*(F.regexp_count("f", F.lit(p)).alias(k) for k, p in SALES.items()), head_repeats(F.regexp_extract_all("f", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("title_repeat"))
-    d = once(d, "c", counts)
-    families = F.filter(F.array(*(F.when(F.col(f"c.{k}") >= (HEAD_REPEATS if k == "title_repeat" else 1), F.lit(k)) for k in (*SALES, "title_repeat"))), lambda x: x.isNotNull())
-    strong = F.greatest(*((F.col(f"c.{k}") >= n).cast("int") for k, n in STRONG.items())) == 1
-    return once(d, "e", families).select("doc_id", F.array_join("e", "|").alias("families"), ((F.size("e") >= 2) | strong).alias("commercial_page"))
+    """Families of sales evidence in each document."""
+    return with_commercial(texts(spark, sf_dir)).select("doc_id", F.array_join("families", "|").alias("families"), "commercial_page")
 
 
 def translation_signals(text: Column, url: Column) -> dict[str, Column]:
@@ -89,11 +108,8 @@ def translation_signals(text: Column, url: Column) -> dict[str, Column]:
 
 def translated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of each document that has one, and whether they make it a machine translation."""
-    d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "url"))
-    d = once(d, "s", F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in translation_signals(F.col("text"), F.col("url")).items())), lambda x: x.isNotNull()))
-    some = lambda *names: F.arrays_overlap("s", F.array(*map(F.lit, names)))
-    made = (some("host_tr", "path_tr", "foreign_cctld") & some("profile_weak", "bu_comma", "cyrillic_residue")) | some("profile_strong", "bu_comma_profile")
-    return d.where(F.size("s") > 0).select("doc_id", F.array_join("s", "|").alias("signals"), made.alias("machine_translation"))
+    d = with_translation(texts(spark, sf_dir)).where(F.size("translation_signals") > 0)
+    return d.select("doc_id", F.array_join("translation_signals", "|").alias("signals"), "machine_translation")
 
 
 def repeated_heads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The third quality policy: the second one's triggers, each with a further measure that can spare a document.
+"""The third quality policy, and the choice among all. Third: the second one's triggers, each with a further measure that can spare a document.
 
 Every rule speaks only where the second policy has named its reason, so the
 third never rejects what the second keeps, apart from extreme repetition,
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as T
 from sievewright.functions.body import body
 from sievewright.operators import candidates as C
+from sievewright.operators.pages import _SALES_SQL, _TRANSLATED_SQL, with_commercial, with_translation
 from sievewright.tables import once, spread, table
 
 #: Function words, by whose share prose is told from lists.
@@ -115,6 +116,30 @@ def quality_rules_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join("v2", "|").alias("v2"), F.array_join(reasons(), "|").alias("v3")).where("v2 <> '' or v3 <> ''")
 
 
+def reasons_under(docs: DataFrame, policy: str) -> DataFrame:
+    """(doc_id, reasons) of documents (doc_id, text, url) under a named policy, in the policy's order.
+
+    none has no reasons, v1 and v2 are lists of rules, v3 spares some of v2's
+    documents, and v4 is v3 with two more rules.
+    """
+    if policy in C.POLICIES:
+        return C.measured(docs).select("doc_id", C.reasons(policy).alias("reasons") if C.POLICIES[policy] else F.array().cast("array<string>").alias("reasons"))
+    if policy not in ("v3", "v4"):
+        raise ValueError(f"no policy of this name: {policy}")
+    third = measured(docs).select("doc_id", "text", reasons().alias("reasons"))
+    if policy == "v3":
+        return third.select("doc_id", "reasons")
+    pages = with_commercial(with_translation(docs.select("doc_id", "text", "url")))
+    new = F.filter(F.array(F.when(F.col("machine_translation"), F.lit("machine_translation")), F.when(F.col("commercial_page"), F.lit("commercial_page"))), lambda x: x.isNotNull())
+    return third.select("doc_id", "reasons").join(pages.select("doc_id", new.alias("new")), "doc_id").select("doc_id", F.concat("reasons", "new").alias("reasons"))
+
+
+def quality_rules_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the fourth policy rejects and its reasons."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "url")
+    return reasons_under(d, "v4").where(F.size("reasons") > 0).select("doc_id", F.array_join("reasons", "|").alias("reasons"))
+
+
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters before, in and after the body of each document, by source."""
     d = once(spread(table(spark, sf_dir, "documents").where("text is not null").select("source", "text")), "body", body(F.col("text")))
@@ -166,4 +191,12 @@ V3_SQL = f"""WITH {C.MEASURED}, a AS (SELECT *, {_SEGMENTS} AS all_s, string_spl
     SELECT doc_id, reasons AS v2, concat_ws('|', {", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _V3.items())}) AS v3 FROM b"""
 
 #: The SQL takes the whole text for the body, which it is wherever a rule depends on it on these tables.
-QUERIES = {"quality_rules_v3": (quality_rules_v3, V3_SQL), "page_bodies": (page_bodies, None)}
+QUERIES = {
+    "quality_rules_v3": (quality_rules_v3, V3_SQL),
+    "quality_rules_v4": (
+        quality_rules_v4,
+        f"""SELECT * FROM (SELECT d.doc_id, concat_ws('|', nullif(v.v3, ''), CASE WHEN machine_translation THEN 'machine_translation' END, CASE WHEN commercial_page THEN 'commercial_page' END) AS reasons
+        FROM documents d LEFT JOIN ({V3_SQL}) v USING (doc_id) LEFT JOIN ({_TRANSLATED_SQL}) t USING (doc_id) LEFT JOIN ({_SALES_SQL}) s USING (doc_id) WHERE d.text IS NOT NULL) WHERE reasons <> ''""",
+    ),
+    "page_bodies": (page_bodies, None),
+}

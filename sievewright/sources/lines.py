@@ -146,8 +146,11 @@ def read_json_lines(lines: DataFrame, schema: StructType | DataType | str) -> Da
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated rows with a header; an empty cell is null and a ragged row fails the read."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="", emptyValue="", mode="FAILFAST", quote="")
+    """Tab-separated rows with a header, as spreadsheets write them: cells with tabs, line feeds or quotes stand in quotes, a quote inside is doubled.
+
+    An empty cell is null and a ragged row fails the read.
+    """
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="", emptyValue="", mode="FAILFAST", quote='"', escape='"', multiLine=True)
 
 
 def read_shards(spark: SparkSession, paths: list[str], columns: list[str], schema: str) -> DataFrame:

@@ -208,3 +208,16 @@ def test_body_against_the_plain_rule(spark):
     assert got == [None if t is None else plain_body(t) for t in texts]
     assert got[2].startswith("Menü") or got[2].startswith("bu") or len(got[2]) < len(texts[2])
     assert any(t and len(g) < len(t) for t, g in zip(texts, got, strict=True))
+
+
+def test_policies_are_chosen_by_name(spark):
+    from sievewright.operators import policies
+
+    rows = [(1, "temiz bir metin", None), (2, "iki � ve � daha", None), (3, "Sponsorlu içerik", None), (4, "son harf �", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    got = {p: {r["doc_id"]: r["reasons"] for r in policies.reasons_under(d, p).collect()} for p in ("none", "v1", "v2", "v3", "v4")}
+    assert got["none"] == got["v1"] == {1: [], 2: [], 3: [], 4: []}
+    assert got["v2"] == {1: [], 2: ["encoding_corruption"], 3: [], 4: ["encoding_corruption"]} and got["v3"] == {1: [], 2: ["encoding_corruption"], 3: [], 4: []}
+    assert got["v4"] == got["v3"] | {3: ["commercial_page"]}
+    with pytest.raises(ValueError, match="v9"):
+        policies.reasons_under(d, "v9")

@@ -38,8 +38,11 @@ def test_json_lines(spark):
 
 def test_tsv(spark, tmp_path):
     p = tmp_path / "t.tsv"
-    p.write_text("a\tb\n1\tx\n2\t\n", encoding="utf-8")
-    assert [tuple(r) for r in L.read_tsv(spark, str(p), "a int, b string").collect()] == [(1, "x"), (2, None)]
+    p.write_text('a\tb\n1\tx\n2\t\n3\t"with ""quotes"", a\ttab\nand a line"\n', encoding="utf-8")
+    assert [tuple(r) for r in L.read_tsv(spark, str(p), "a int, b string").collect()] == [(1, "x"), (2, None), (3, 'with "quotes", a\ttab\nand a line')]
+    p.write_text("a\tb\n1\tx\ty\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        L.read_tsv(spark, str(p), "a int, b string").collect()
 
 
 def test_shards_and_manifest(spark, tmp_path):
