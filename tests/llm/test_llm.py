@@ -359,7 +359,7 @@ def test_masked_without_ids(spark):
 @pytest.mark.parametrize(
     ("line", "address"),
     [
-        ("Soru: elif_er24 (et) derlem nokta example için", "elif_er24 (et) derlem nokta example"),
+        ("Soru: elif_er24 (et) kurum nokta example için", "elif_er24 (et) kurum nokta example"),
         ("ayse+yesil (et) posta nokta okul nokta example Das", "ayse+yesil (et) posta nokta okul nokta example"),
         ("dkara [et] kurum-a [nokta] invalid;1", "dkara [et] kurum-a [nokta] invalid"),
         ("dkara{et}kurum-a(nokta)invalid;1", "dkara{et}kurum-a(nokta)invalid"),
