@@ -129,7 +129,7 @@ def reasons_under(docs: DataFrame, policy: str) -> DataFrame:
     third = measured(docs).select("doc_id", "text", reasons().alias("reasons"))
     if policy == "v3":
         return third.select("doc_id", "reasons")
-    pages = with_commercial(with_translation(docs.select("doc_id", "text", "url")))
+    pages = with_commercial(with_translation(spread(docs.select("doc_id", "text", "url"))))
     new = F.filter(F.array(F.when(F.col("machine_translation"), F.lit("machine_translation")), F.when(F.col("commercial_page"), F.lit("commercial_page"))), lambda x: x.isNotNull())
     return third.select("doc_id", "reasons").join(pages.select("doc_id", new.alias("new")), "doc_id").select("doc_id", F.concat("reasons", "new").alias("reasons"))
 
